@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +50,32 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     shuffle, so the choice never depends on an unchecked assumption.
     """
     return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    Cuts lineage like ``cut`` but keeps column pruning for several readers.
+    The files are removed when the driver's Python ends or ``drop_tables`` runs.
+    """
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/loomtext-tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    _written.append((spark, at))
+    return spark.read.schema(df.schema).parquet(at)
+
+
+@atexit.register
+def drop_tables() -> None:
+    """Remove the tables written by ``table`` (best effort at exit)."""
+    while _written:
+        spark, at = _written.pop()
+        try:
+            jvm = spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(at)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session may be gone already
+            return
