@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomtext.llm.lookalike import forms, looking_equal
 from loomtext.llm.tokenize import decode_corpus, encode_corpus
 from loomtext.sources.tables import read
 
 
+def _look_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Line-map lines and checked readings, one row per key and text."""
+    lines = read(spark, d, "opening_lines", "line_id", "text").select(F.lit("line").alias("record_kind"), F.col("line_id").alias("record_key"), "text")
+    rd = read(spark, d, "checked_readings", "reading_id", "text", "reading_layer").where("reading_layer = 'checked'")
+    return lines.unionByName(rd.select(F.lit("reading").alias("record_kind"), F.col("reading_id").alias("record_key"), "text")).distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return looking_equal(_look_rows(spark, d), "record_kind", "record_key", "text")
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    return forms(_look_rows(spark, d), ["record_kind", "record_key"], "text").select("record_kind", "record_key", "form")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read(spark, d, "documents", "doc_id", "text").dropDuplicates(["doc_id"]))
 
@@ -16,5 +33,5 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(p8_ids(spark, d))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 SQL = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
