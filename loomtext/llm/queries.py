@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.lookalike import forms, looking_equal
+from loomtext.llm.spans import shared_spans
 from loomtext.llm.tokenize import decode_corpus, encode_corpus
 from loomtext.sources.tables import read
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    a = read(spark, d, "alignments", "unit_id", "targets").select("unit_id", F.explode("targets").alias("w", "text"))
+    a = a.select(F.lit("alignment").alias("record_kind"), F.concat_ws("/", "unit_id", "w").alias("record_key"), "text")
+    r = read(spark, d, "checked_readings", "reading_id", "text").select(F.lit("reading").alias("record_kind"), F.col("reading_id").alias("record_key"), "text")
+    return shared_spans(a.unionByName(r), "record_kind", "record_key", "text")
+
+
 def _look_rows(spark: SparkSession, d: str) -> DataFrame:
     """Line-map lines and checked readings, one row per key and text."""
     lines = read(spark, d, "opening_lines", "line_id", "text").select(F.lit("line").alias("record_kind"), F.col("line_id").alias("record_key"), "text")
@@ -33,5 +41,16 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(p8_ids(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
-SQL = {"p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+SQL = {
+    "p2_found": """
+with r as (
+  select distinct 'alignment' as record_kind, unit_id || '/' || e.key as record_key, e.value as text
+  from (select unit_id, unnest(map_entries(targets)) as e from alignments)
+  union select distinct 'reading', reading_id, text from checked_readings),
+w as (select record_kind, record_key, unnest(generate_series(1, length(text) - 99)) as s, text from r where length(text) >= 100),
+h as (select record_kind, record_key, s, substr(text, s, 100) as g from w),
+m as (select g from h group by g having min(record_kind || record_key) <> max(record_kind || record_key)),
+c as (select record_kind, record_key, s, lag(s) over (partition by record_kind, record_key order by s) as p from h semi join m using (g))
+select record_kind, record_key, cast(sum(least(100, s - coalesce(p, s - 100))) as bigint) as shared_chars from c group by all""",
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents"}
