@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.lookalike import forms, looking_equal
+from loomtext.llm.sentences import sentence_spans
 from loomtext.llm.spans import shared_spans
 from loomtext.llm.tokenize import decode_corpus, encode_corpus
 from loomtext.sources.tables import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    r = read(spark, d, "checked_readings", "reading_id", "text", "reading_layer").where("reading_layer = 'checked'")
+    r = r.select(F.lit("reading").alias("record_kind"), F.col("reading_id").alias("record_key"), "text")
+    p = read(spark, d, "semantic_plans", "plan_id", "note").select(F.lit("plan").alias("record_kind"), F.col("plan_id").alias("record_key"), F.col("note").alias("text"))
+    return sentence_spans(r.unionByName(p), "record_kind", "record_key", "text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "alignments", "unit_id", "targets").select("unit_id", F.explode("targets").alias("w", "text"))
     a = a.select(F.lit("alignment").alias("record_kind"), F.concat_ws("/", "unit_id", "w").alias("record_key"), "text")
@@ -41,7 +49,7 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(p8_ids(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 SQL = {
     "p2_found": """
 with r as (
