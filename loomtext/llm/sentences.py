@@ -30,7 +30,7 @@ ABBREVIATIONS = {
 # Abbreviations that stand before a number (elsewhere the word ends a sentence as any other).
 BEFORE_NUMBER = "no nos nr p pp v vv l ll fol fols vol vols fig figs ch chap sec art bd s z kap abs anm sp bl abb taf aufl ms mss t".split()
 # Abbreviations after which a sentence may end if a new one plainly begins.
-MAY_END = "etc usw f ff al u.a dgl ebd ibid".split()
+MAY_END = "etc usw usf f ff al u.a dgl ebd ibid".split()
 # Words before a German ordinal.
 ORDINAL_LEAD = "am an im vom zum zur der die das dem den des jeder jede".split()
 # Lower-case words that carry a sentence on after a mark.
@@ -38,7 +38,7 @@ GOES_ON = (
     "he she it they we i you is are was were be has have had do does did and or but nor yet so in on of to by at as with from for that which who whom "
     "says said asks asked replies replied answers answered writes wrote thinks holds adds added cries cried stands reads means "
     "er sie es ist sind war waren hat haben und oder aber doch denn in im an am auf zu zum von vom mit bei steht heißt sagt sagte fragt fragte "
-    "antwortet schreibt ruft meint denkt fügt also can could will would may might not the a an"
+    "antwortet schreibt ruft meint denkt fügt also can could will would may might not the a an usf"
 ).split()
 CLOSING = set("”’\"'»)]}」』》〉】〗）］｝｣›")
 PAIRS = {"“": "”", "‘": "’", "«": "»", "「": "」", "『": "』", "„": "“”", "‚": "‘’"}
