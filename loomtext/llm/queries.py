@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.leakage import leaks
 from loomtext.llm.lookalike import forms, looking_equal
 from loomtext.llm.sentences import sentence_spans
 from loomtext.llm.spans import shared_spans
@@ -49,7 +50,11 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(p8_ids(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", read(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+QUERIES = {"p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 SQL = {
     "p2_found": """
 with r as (
