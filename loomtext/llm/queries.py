@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.leakage import leaks
 from loomtext.llm.lookalike import forms, looking_equal
+from loomtext.llm.scan import noise, paragraphs
 from loomtext.llm.sentences import sentence_spans
 from loomtext.llm.spans import shared_spans
 from loomtext.llm.tokenize import decode_corpus, encode_corpus
@@ -42,6 +43,18 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms(_look_rows(spark, d), ["record_kind", "record_key"], "text").select("record_kind", "record_key", "form")
 
 
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "checked_readings", "reading_id", "document_id", "pdf_page", "raw_block_ids", "text", "reading_layer")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return noise(_readings(spark, d))
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return paragraphs(_readings(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read(spark, d, "documents", "doc_id", "text").dropDuplicates(["doc_id"]))
 
@@ -54,7 +67,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", read(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
 
 
-QUERIES = {"p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+QUERIES = {"p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 SQL = {
     "p2_found": """
 with r as (
