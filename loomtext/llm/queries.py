@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.bitext import align
 from loomtext.llm.leakage import leaks
 from loomtext.llm.lookalike import forms, looking_equal
 from loomtext.llm.scan import noise, paragraphs
@@ -67,7 +68,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text", read(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
 
 
-QUERIES = {"p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    units = read(spark, d, "alignments", "unit_id", "bitext_id", "unit_number", "unit_order", "unit_status", "targets")
+    return align(units, read(spark, d, "semantic_plans", "bitext_id", "source_id", "passages"))
+
+
+QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 SQL = {
     "p2_found": """
 with r as (
