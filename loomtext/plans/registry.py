@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomtext.plans import core
+from loomtext.plans import core, corpus
 
-MODULES = (core,)
+MODULES = (core, corpus)
 
 
 def queries() -> dict:
