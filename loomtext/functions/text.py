@@ -145,7 +145,7 @@ def canonical_unit(unit_id: Column) -> Column:
 
 def number_list(spec: Column) -> Column:
     """'_' and null give no numbers; otherwise the comma-separated list, trimmed."""
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(spec.isNull() | (F.trim(spec) == "_"), F.array().cast("array<string>")).otherwise(parts)
 
 

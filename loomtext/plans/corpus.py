@@ -279,7 +279,7 @@ def duplicate_unit_ids(s, d):
 
 def revised_lines(s, d):
     r = read(s, d, "opening_lines", "line_id", "revision", "text").distinct()
-    return edits.last_wins(r, ["line_id"], ["revision"]).select("line_id", "revision", F.length("text").alias("n_chars"))
+    return edits.last_wins(r, ["line_id"], ["revision"]).select("line_id", "revision", F.coalesce(F.length("text"), F.lit(-1)).alias("n_chars"))
 
 
 def passage_next_start(s, d):
@@ -395,8 +395,8 @@ SQL = {
         " select surface, '<div n=\"' || surface || '\">' || string_agg('<l n=\"' || n || '\">' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</l>', '' order by n) || '</div>' as tei from l group by surface",
     "duplicate_text_groups": "select min(doc_id) as first_id, count(*) as n from documents where text is not null group by text having count(*) > 1",
     "duplicate_unit_ids": "select unit_id, count(*) as n from alignments group by unit_id having count(*) > 1",
-    "revised_lines": "select line_id, max(revision) as revision, length(arg_max(coalesce(text, chr(0)), revision)) as n_chars from (select distinct line_id, revision, text from opening_lines where text is not null) group by line_id"
-        " union all select distinct line_id, revision, null from opening_lines o where not exists (select 1 from opening_lines p where p.line_id = o.line_id and p.text is not null)",
+    "revised_lines": "select line_id, max(revision) as revision, length(arg_max(text, revision)) as n_chars from (select distinct line_id, revision, text from opening_lines where text is not null) group by line_id"
+        " union all select distinct line_id, revision, -1 from opening_lines o where not exists (select 1 from opening_lines p where p.line_id = o.line_id and p.text is not null)",
     "passage_next_start": "with f as (select distinct selection_id, block_id, start_pos, end_pos from text_selections where block_id is not null and start_pos is not null),"
         " g as (select block_id, lead(start_pos) over (partition by block_id order by start_pos, selection_id) as nx from f) select block_id, count(*) as n, cast(sum(nx) as bigint) as next_sum from g group by block_id",
     "forward_filled_pages": "with r as (select reading_id, any_value(document_id) as document_id, max(pdf_page) as pdf_page from checked_readings group by reading_id)"
