@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.llm.bitext import align
 from loomtext.llm.leakage import leaks
 from loomtext.llm.lookalike import forms, looking_equal
+from loomtext.llm.pii import find_pii, redact
 from loomtext.llm.scan import noise, paragraphs
 from loomtext.llm.sentences import sentence_spans
 from loomtext.llm.spans import shared_spans
@@ -73,7 +74,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return align(units, read(spark, d, "semantic_plans", "bitext_id", "source_id", "passages"))
 
 
-QUERIES = {"p5_found": p5_found, "p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_pii(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 SQL = {
     "p2_found": """
 with r as (
