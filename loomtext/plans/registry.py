@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomtext.plans import core, corpus
+from loomtext.plans import core, corpus, units
 
-MODULES = (core, corpus)
+MODULES = (core, corpus, units)
 
 
 def queries() -> dict:
