@@ -1,0 +1,127 @@
+"""Transfer of phrase anchors between witnesses, plans, and frozen suggestions."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from loomtext.functions.text import letters_key
+
+
+def exact_sequence(selections: DataFrame, tokens: DataFrame) -> DataFrame:
+    """unit_id, lo, hi: the only place where a selection's forms stand in a row in its witness.
+
+    ``selections``: unit_id, key, forms (array); ``tokens``: key, idx, norm.  No
+    place or several places give no row.  Joined on the first form.
+    """
+    longest = selections.agg(F.max(F.size("forms"))).first()[0] or 1
+    w = Window.partitionBy("key").orderBy("idx").rowsBetween(0, int(longest) - 1)
+    t = tokens.select("key", "idx", "norm", F.collect_list("norm").over(w).alias("ahead")) if longest > 1 else tokens.select("key", "idx", "norm", F.array("norm").alias("ahead"))
+    s = selections.where(F.size("forms") > 0).withColumn("norm", F.col("forms")[0])
+    hit = s.join(t, ["key", "norm"]).where(F.slice("ahead", 1, F.size("forms")) == F.col("forms"))
+    g = hit.groupBy("unit_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("lo"), F.max(F.size("forms")).alias("k")).where("n = 1")
+    return g.select("unit_id", "lo", (F.col("lo") + F.col("k") - 1).alias("hi"))
+
+
+def reanchor(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """unit_id, token_idxs: all of a unit's tokens mapped by ``pairs`` (key, old_idx, new_idx), or no row."""
+    u = units.select("unit_id", "key", F.explode("token_idxs").alias("old_idx"))
+    j = u.join(pairs, ["key", "old_idx"], "left")
+    return j.groupBy("unit_id").agg(F.array_sort(F.collect_list("new_idx")).alias("token_idxs"), F.min(F.col("new_idx").isNotNull()).alias("all")).where("all").drop("all")
+
+
+def propagate_root(units: DataFrame, root_tokens: DataFrame) -> DataFrame:
+    """All target tokens of every unit that shares a token with the root (token_id)."""
+    hit = units.select("unit_id", F.explode("token_ids").alias("token_id")).join(root_tokens, "token_id", "left_semi").select("unit_id").distinct()
+    return units.join(hit, "unit_id", "left_semi").select("unit_id", F.explode("token_ids").alias("token_id")).distinct()
+
+
+def plan_pieces(witness: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pieces, problems): witness text cut at a plan's ordered start phrases.
+
+    ``witness``: key, text; ``plan``: key, ord, number, phrase.  A phrase must
+    stand exactly once (white space apart) and the places must rise.  Pieces:
+    key, ord, number, start_pos, end_pos in the squeezed text.
+    """
+    t = witness.select("key", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    p = plan.withColumn("phrase", F.trim(F.regexp_replace("phrase", r"\s+", " ")))
+    j = p.join(t, "key", "left").withColumn("n", F.expr("(length(text) - length(replace(text, phrase, ''))) div length(phrase)")).withColumn("a", F.expr("locate(phrase, text) - 1"))
+    w = Window.partitionBy("key").orderBy("ord")
+    j = j.withColumn("before", F.lag("a").over(w)).withColumn("end_pos", F.coalesce(F.lead("a").over(w), F.length("text")))
+    problem = F.when(F.coalesce("n", F.lit(0)) == 0, "not found").when(F.col("n") > 1, "not unique").when(F.col("a") <= F.col("before"), "order")
+    j = j.withColumn("problem", problem)
+    whole = j.groupBy("key").agg(F.max(F.col("problem").isNotNull()).alias("bad")).where("not bad").select("key")
+    pieces = j.join(whole, "key", "left_semi").select("key", "ord", "number", F.col("a").alias("start_pos"), "end_pos")
+    return pieces, j.where("problem is not null").select("key", "ord", "problem")
+
+
+def frozen_suggestions(suggestions: DataFrame, tokens: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) frozen suggestions.
+
+    ``suggestions``: unit_id, source_id, token_ids, text; ``tokens``: token_id,
+    surface; ``taken``: unit_id, source_id, token_id of present targets.  A
+    suggestion must not overwrite, must still name the same token texts, and
+    must not overlap what is there.
+    """
+    s = suggestions.select("unit_id", "source_id", F.posexplode("token_ids").alias("k", "token_id"), "text")
+    j = s.join(tokens, "token_id", "left").join(taken.select("token_id").distinct().withColumn("used", F.lit(True)), "token_id", "left")
+    g = j.groupBy("unit_id", "source_id", "text").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("surface", F.lit("?")).alias("s")))), lambda x: x.s), " ").alias("now"), F.max(F.coalesce("used", F.lit(False))).alias("used"))
+    g = g.join(taken.select("unit_id", "source_id").distinct().withColumn("there", F.lit(True)), ["unit_id", "source_id"], "left")
+    reason = F.when(F.col("there"), "overwrites").when(F.col("now") != F.col("text"), "changed").when(F.col("used"), "overlaps")
+    g = g.withColumn("reason", reason)
+    return g.where("reason is null").select("unit_id", "source_id"), g.where("reason is not null").select("unit_id", "source_id", "reason")
+
+
+def parallel_transfer(pairs: DataFrame, least_chars: int = 15, least_ratio: float = 0.94) -> DataFrame:
+    """key, unit_id, lo, hi: spans of one edition carried to another edition of the same translation.
+
+    ``pairs``: key, a_tokens, b_tokens, spans (array of unit_id, lo, hi over
+    a_tokens).  Both directions must match at least ``least_ratio``, the ends
+    must map, and spans never overlap one carried before (in order).
+    """
+    def run(batches):
+        for df in batches:
+            rows = []
+            for key, a, b, spans in zip(df["key"], df["a_tokens"], df["b_tokens"], df["spans"]):
+                ka, kb = [letters_key(x) for x in a], [letters_key(x) for x in b]
+                ob = [i for i, k in enumerate(kb) for _ in k]
+                to = {}
+                for x, y, n in difflib.SequenceMatcher(None, "".join(ka), "".join(kb), autojunk=False).get_matching_blocks():
+                    to.update((x + i, y + i) for i in range(n))
+                start = [0]
+                for k in ka:
+                    start.append(start[-1] + len(k))
+                first_b = {}
+                for pos, i in enumerate(ob):
+                    first_b.setdefault(i, pos)
+                used: set[int] = set()
+                for s in spans:
+                    x, y = start[s["lo"]], start[s["hi"] + 1]
+                    if y - x < least_chars or x not in to or y - 1 not in to:
+                        continue
+                    p, q = to[x], to[y - 1]
+                    hit = sum(1 for c in range(x, y) if c in to)
+                    lo, hi = ob[p], ob[q]
+                    whole = first_b[lo] == p and (q + 1 == len(ob) or ob[q + 1] != hi)
+                    if whole and min(hit / (y - x), hit / (q + 1 - p)) >= least_ratio and not used & set(range(lo, hi + 1)):
+                        used |= set(range(lo, hi + 1))
+                        rows.append((key, s["unit_id"], lo, hi))
+            yield pd.DataFrame(rows, columns=["key", "unit_id", "lo", "hi"])
+
+    return pairs.select("key", "a_tokens", "b_tokens", "spans").mapInPandas(run, "key string, unit_id string, lo int, hi int")
+
+
+def table_anchors(mapped: DataFrame, units: DataFrame) -> DataFrame:
+    """unit_id, cell: units of whose tokens a table cell's span covers at least .80, and .85 of the cell's.
+
+    ``mapped``: cell, key, token_idxs; ``units``: unit_id, key, token_idxs.
+    """
+    j = mapped.select("cell", "key", F.col("token_idxs").alias("c")).join(units.select("unit_id", "key", F.col("token_idxs").alias("u")), "key")
+    both = F.size(F.array_intersect("c", "u"))
+    j = j.withColumn("both", both).where("both > 0 and both >= 0.80 * size(u)")
+    cover = j.groupBy("cell").agg(F.sum("both").alias("covered"), F.max(F.size("c")).alias("n")).where("covered >= 0.85 * n").select("cell")
+    return j.join(cover, "cell", "left_semi").select("unit_id", "cell")
