@@ -153,3 +153,48 @@ def xml_escape(s: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
+
+
+def lexical_parts(text: str, lang: str) -> list[str]:
+    """Folded parts of a form: single characters in Chinese, blank-separated words elsewhere."""
+    raw = list(text) if lang == "zho" else text.split()
+    return [p for p in map(lexical_form, raw) if p]
+
+
+def alignable(token: Column) -> Column:
+    """Tokens worth aligning: with a letter or mark, no verse marker, no lone or Roman ASCII capital."""
+    return token.rlike(r"[\p{L}\p{M}]") & (F.lower(token) != "vvs") & ~token.rlike("^(?:[A-Z]|[IVXLCDM]+)$")
+
+
+def lexically_eligible(token: Column, lang: Column) -> Column:
+    """Tokens a glossary can cover, by language."""
+    base = token.rlike(r"\p{L}")
+    return (
+        F.when(lang == "san", base & (token != "Vvs"))
+        .when(lang == "bod", base & ~token.rlike(r"^(?:[A-Z]|[IVXLCDM]+|\d+[A-Za-z]+|(?i:colophon|ef))$"))
+        .when(lang == "zho", token.rlike(r"\p{IsHan}")).otherwise(base)
+    )
+
+
+def without_labels(text: Column) -> Column:
+    """Text without bracketed speaker labels such as '[Objection:]', squeezed."""
+    return squeeze(F.regexp_replace(text, r"\[[^\[\]\n]{1,40}:\]", " "))
+
+
+def loose_pattern(marker: str) -> str:
+    """Regular expression for a marker in which white space does not matter."""
+    import re
+
+    return r"\s*".join(re.escape(c) for c in marker if not c.isspace())
+
+
+def locate_loosely(text: Column, marker: str) -> Column:
+    """0-based place of a marker found exactly once, whatever its white space; else null."""
+    p = F.lit(loose_pattern(marker))
+    return F.when(F.regexp_count(text, p) == 1, F.regexp_instr(text, p) - 1)
+
+
+def https_url(url: Column, hosts: list[str] | None = None) -> Column:
+    """Is it an https address (of one of the hosts)?"""
+    ok = F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")) == "https", F.lit(False)) & F.try_parse_url(url, F.lit("HOST")).isNotNull()
+    return ok & F.coalesce(F.try_parse_url(url, F.lit("HOST")).isin(hosts), F.lit(False)) if hosts else ok
