@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomtext.plans import core, corpus, units
+from loomtext.plans import core, corpus, editing, units
 
-MODULES = (core, corpus, units)
+MODULES = (core, corpus, units, editing)
 
 
 def queries() -> dict:
