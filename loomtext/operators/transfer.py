@@ -49,7 +49,7 @@ def plan_pieces(witness: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFra
     t = witness.select("key", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
     p = plan.withColumn("phrase", F.trim(F.regexp_replace("phrase", r"\s+", " ")))
     j = p.join(t, "key", "left").withColumn("n", F.expr("(length(text) - length(replace(text, phrase, ''))) div length(phrase)")).withColumn("a", F.expr("locate(phrase, text) - 1"))
-    w = Window.partitionBy("key").orderBy("ord")
+    w = Window.partitionBy("key").orderBy("ord", "phrase")
     j = j.withColumn("before", F.lag("a").over(w)).withColumn("end_pos", F.coalesce(F.lead("a").over(w), F.length("text")))
     problem = F.when(F.coalesce("n", F.lit(0)) == 0, "not found").when(F.col("n") > 1, "not unique").when(F.col("a") <= F.col("before"), "order")
     j = j.withColumn("problem", problem)

@@ -39,7 +39,7 @@ def _plans(s, d):
     wit = t.groupBy(key.alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_order", "unit_id", "text"))), lambda x: x.text), " ").alias("text"))
     p = read(s, d, "semantic_plans", "plan_id", "bitext_id", "source_id", "passages").dropDuplicates(["plan_id"])
     p = p.select(F.concat_ws("/", F.col("bitext_id").cast("string"), "source_id").alias("key"), F.explode("passages").alias("k", "items"))
-    p = p.select("key", F.posexplode("items").alias("ord", "i")).select("key", "ord", F.col("i")[0].alias("number"), F.col("i")[1].alias("phrase"))
+    p = p.select("key", F.posexplode("items").alias("ord", "i")).select("key", "ord", F.col("i")[0].alias("number"), F.col("i")[1].alias("phrase")).distinct()
     return transfer.plan_pieces(wit, p)
 
 
@@ -140,10 +140,10 @@ _PL = (
     " w as (select bitext_id, unit_order, unit_id, unnest(map_entries(targets)) as e from u where st = 'unassigned'),"
     " x as (select bitext_id || '/' || e.key as key, trim(regexp_replace(string_agg(e.value, ' ' order by unit_order, unit_id), '\\s+', ' ', 'g')) as text from w where length(e.value) > 0 group by 1),"
     " p0 as (select plan_id, any_value(bitext_id) || '/' || any_value(source_id) as key, unnest(map_values(any_value(passages))) as items from semantic_plans group by 1),"
-    " p as (select key, unnest(items) as i, generate_subscripts(items, 1) - 1 as ord from p0),"
+    " p as (select distinct key, i, ord from (select key, unnest(items) as i, generate_subscripts(items, 1) - 1 as ord from p0)),"
     " j as (select p.key, ord, text, trim(regexp_replace(i[2], '\\s+', ' ', 'g')) as phrase from p left join x using (key)),"
     " k as (select *, coalesce((length(text) - length(replace(text, phrase, ''))) // length(phrase), 0) as n, instr(text, phrase) - 1 as a from j),"
-    " q as (select *, lag(a) over (partition by key order by ord) as before, coalesce(lead(a) over (partition by key order by ord), length(text)) as e from k),"
+    " q as (select *, lag(a) over (partition by key order by ord, phrase) as before, coalesce(lead(a) over (partition by key order by ord, phrase), length(text)) as e from k),"
     " z as (select *, case when n = 0 then 'not found' when n > 1 then 'not unique' when a <= before then 'order' end as problem from q)"
 )
 _L = "l as (select line_id, max(revision) as revision, min(text) as text from opening_lines where text is not null group by 1), dr as (select *, case when length(text) % 7 = 0 then revision - 1 else revision end as br from l)"
