@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.session import small, table
+from loomtext.session import table
 
 #: Folder of the public vocabularies; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
@@ -148,18 +148,37 @@ def pieces(spark: SparkSession, vocabulary: str = VOCABULARY, folder: str = TOKE
         F.split("value", " ")[1].cast("int").alias("id"), F.unbase64(F.split("value", " ")[0]).alias("piece"))
 
 
+def _pieces_of(shared, id_type: pa.DataType, id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = pa.array(shared.value, pa.binary())
+        for b in batches:
+            lists = b.column(1)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            joined = table_.take(lists.flatten())  # the pieces of all ids, one after another
+            ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+            body = joined.buffers()[2].to_pybytes() if len(joined) else b""
+            cut = ends[at - at[0]]
+            texts = [body[x:y].decode("utf-8", "replace") for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            yield pa.record_batch([b.column(0).cast(id_type), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return run
+
+
 def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
-    """(id_col, text): texts from ids through a join with the id-to-piece table.
+    """(id_col, text): texts from ids by joining the id-to-piece table.
 
-    An empty list decodes to the empty text; a repeated id gives one row.
+    The table has one row per vocabulary entry, so its size is fixed by the
+    vocabulary; it is sent once and joined by position in Arrow, and no id is
+    shuffled.  An empty or null list decodes to the empty text; rows stay.
     """
-    one = encoded.dropDuplicates([id_col])
-    rows = one.select(id_col, F.posexplode_outer("ids").alias("pos", "id"))
-    return (
-        rows.join(small(pieces(encoded.sparkSession, vocabulary, folder)), "id", "left")
-        .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("p"))
-        .select(id_col, F.expr("decode(aggregate(p, cast('' as binary), (a, x) -> concat(a, coalesce(x.piece, cast('' as binary)))), 'utf-8')").alias("text"))
-    )
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = encoded.sparkSession
+    rows = {r.id: bytes(r.piece) for r in pieces(spark, vocabulary, folder).collect()}
+    shared = spark.sparkContext.broadcast([rows.get(i, b"") for i in range(max(rows) + 2)])
+    t = encoded.schema[id_col].dataType
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    return encoded.select(id_col, ids.alias("ids")).mapInArrow(_pieces_of(shared, to_arrow_type(t), id_col), f"{id_col} {t.simpleString()}, text string")
 
 
 def ranks(path: str) -> dict[bytes, int]:
