@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomtext.session import table
+
 # Letters and marks of other scripts drawn like a Latin one.
 LOOKALIKES = {
     # Cyrillic
@@ -126,10 +128,9 @@ def looking_equal(rows: DataFrame, kind: str, key: str, text_col: str) -> DataFr
     however many, are never compared with each other; a skewed group is split
     by the adaptive join because both sides are joined by key hash and look.
     """
-    d = rows.select(F.col(text_col).alias("t")).where("t is not null").distinct()
-    d = d.select("t", canonical_udf("t").alias("form"), look_udf("t").alias("look"))
     r = rows.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text_col).alias("t")).where("key is not null and t is not null").distinct()
-    r = r.join(d, "t").select("kind", "key", F.xxhash64("form").alias("f"), F.xxhash64("look").alias("h"), F.xxhash64("t", F.length("t")).alias("c"), "look", "t")
+    r = r.select("kind", "key", "t", canonical_udf("t").alias("form"), look_udf("t").alias("look"))
+    r = table(r.select("kind", "key", F.xxhash64("form").alias("f"), F.xxhash64("look").alias("h"), F.xxhash64("t", F.length("t")).alias("c"), "look", "t"), "looks")
     live = r.groupBy("kind", "f", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("kind", "f", "h")
     r = r.join(live, ["kind", "f", "h"], "left_semi")
     a, b = r.alias("a"), r.alias("b")
