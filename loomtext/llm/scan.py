@@ -168,14 +168,16 @@ def scan(readings: DataFrame, raw_layer: str = "raw") -> Scan:
     toks = whole.select("reading_id", "lang", "line_no", "surface", F.lit(None).cast("int").alias("next_no"), F.lit("").alias("part1"))
     toks = toks.unionByName(hyphen.select("reading_id", "lang", "line_no", F.col("joined").alias("surface"), "next_no", "part1"))
     occ = toks.withColumn("word", F.lower("surface")).join(small(bad), ["lang", "word"])
-    pairs = r.select("lang", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)).alias("a"))
-    pairs = pairs.select("lang", F.explode(F.zip_with(F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0))), F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), lambda x, y: F.struct(x.alias("prev"), y.alias("form")))).alias("p")).select("lang", "p.*")
-    pairs = pairs.join(small(bad.select("lang", "form").where("form is not null").distinct()), ["lang", "form"]).groupBy("lang", "prev", "form").agg(F.count(F.lit(1)).alias("np"))
+    several = bad.where("form is not null").groupBy("lang", "word").agg(F.collect_set("form").alias("f")).where(F.size("f") > 1)
+    several = cut(several.select("lang", F.explode("f").alias("form")).distinct())
     target = F.when(F.col("part1") != "", F.col("part1")).otherwise(F.col("surface"))
     before = F.concat(F.lit(r"([\p{L}\p{M}\p{N}]+)[^\p{L}\p{M}\p{N}]+"), target, F.lit(r"(?![\p{L}\p{M}\p{N}])"))
     prev = F.lower(F.call_function("regexp_extract", F.col("s"), before, F.lit(1)))
     occ = occ.join(body.select("reading_id", "line_no", "s"), ["reading_id", "line_no"]).withColumn("prev", prev)
-    occ = occ.join(pairs, ["lang", "prev", "form"], "left")
+    if several.isEmpty():  # every word has one form, so no context is needed
+        occ = occ.withColumn("np", F.lit(0))
+    else:
+        occ = occ.join(_bigrams(r, several), ["lang", "prev", "form"], "left")
     occ = occ.groupBy("reading_id", "line_no", "next_no", "part1", "surface").agg(
         F.max_by("form", F.struct(F.coalesce("np", F.lit(0)), F.coalesce("nf", F.lit(0)), "form")).alias("form"))
     # The line of a divided word is the one that holds the first differing sign.
@@ -188,6 +190,15 @@ def scan(readings: DataFrame, raw_layer: str = "raw") -> Scan:
     return Scan(out.select("reading_id", "line_no", "line", "s", "kind", F.coalesce("hyphen", F.lit(False)).alias("hyphen")), misread)
 
 
+def _bigrams(r: DataFrame, forms: DataFrame) -> DataFrame:
+    """lang, prev, form, np: how often each of the forms follows a word."""
+    a = r.select("lang", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)).alias("a"))
+    n = F.greatest(F.size("a") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("a", F.lit(1), n), F.slice("a", F.lit(2), n), lambda x, y: F.struct(x.alias("prev"), y.alias("form")))
+    p = a.select("lang", F.explode(pairs).alias("p")).select("lang", "p.*")
+    return p.join(small(forms), ["lang", "form"]).groupBy("lang", "prev", "form").agg(F.count(F.lit(1)).alias("np"))
+
+
 def noise(readings: DataFrame) -> DataFrame:
     """(reading_id, line_no, noise_kind): lines of raw readings with each kind of noise."""
     s = scan(readings)
