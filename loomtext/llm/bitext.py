@@ -9,7 +9,6 @@ with null costs (Hungarian method) picks the pairs.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -21,14 +20,12 @@ from pyspark.sql.types import ArrayType, StringType
 
 from loomtext.llm.lookalike import canonical
 from loomtext.llm.sentences import sentences
-from loomtext.session import cut, table
+from loomtext.session import cut, small, table
 
 #: Log-likelihood and association a lexicon entry needs (chi-square at 0.1 %), and occurrences of its parts.
-LEAST_G2, LEAST_WEIGHT, LEAST_COUNT = 10.83, 0.05, 3
-#: Share of the aligned texts a feature of the lexicon must stand in.  Texts have some tens of
-#: features, so at most (features per text) / LEAST_SHARE features per side and language pair are
-#: kept, whatever the size of the corpus: this bounds the lexicon that is sent to the workers.
-LEAST_SHARE = 0.004
+LEAST_G2, LEAST_WEIGHT, LEAST_COUNT, LEAST_PAIRS = 10.83, 0.05, 3, 2
+#: Bitexts of one language pair that share one copy of the part of the lexicon they need.
+BLOCK = 250
 #: Score that leaving a sentence unpaired is worth; what a plan's assignment adds; what a merge must gain.
 NULL_SCORE, PLAN_BONUS, MERGE_GAIN = 0.54, 0.1, 0.08
 #: Share of rare words found on both sides from which two languages count as copying them.
@@ -80,12 +77,14 @@ def cut_udf(text: pd.Series) -> pd.Series:
 
 @dataclass
 class Lexicon:
-    """Bounded by LEAST_SHARE: inverse frequency per (language pair, side, feature), entries
-    (language pair, a, b, weight), and the language pairs that copy rare words."""
+    """``entries`` (lp, a, bs: array of (b, w)) and ``known`` (lp, side, f, w: inverse frequency) are
+    frames of any size; per language pair the driver holds whether it copies rare words, and the
+    weight of a feature that is not known."""
 
-    idf: dict[tuple[str, str, str], float]
-    entries: list[tuple[str, str, str, float]]
+    entries: DataFrame
+    known: DataFrame
     copies: set[str]
+    unseen: dict[str, float]
 
 
 def lexicon(pairs: DataFrame) -> Lexicon:
@@ -93,25 +92,26 @@ def lexicon(pairs: DataFrame) -> Lexicon:
 
     The weight of an entry is the mean excess of the two conditional
     probabilities.  Every pair counts; features are counted once per text.
+    Features standing in LEAST_COUNT texts are kept, however many texts there are.
     """
     p = pairs.where("length(text_a) > 0 and length(text_b) > 0").select(
         "lp", features_udf("text_a", "lang_a").alias("fa"), features_udf("text_b", "lang_b").alias("fb"))
-    p = table(p, "aligned")
+    p = table(p.withColumn("id", F.monotonically_increasing_id()), "aligned")
     n = p.groupBy("lp").agg(F.count(F.lit(1)).alias("n"))
     one = p.select("lp", F.lit("a").alias("side"), F.explode("fa").alias("f")).unionByName(p.select("lp", F.lit("b").alias("side"), F.explode("fb").alias("f")))
     count = one.groupBy("lp", "side", "f").agg(F.count(F.lit(1)).alias("x"))
     every = cut(count.join(F.broadcast(n), "lp").select("lp", "side", "f", "x", "n"))  # n: one row per language pair
-    known = cut(every.where((F.col("x") >= LEAST_COUNT) & (F.col("x") >= LEAST_SHARE * F.col("n"))))
-    kept = known.groupBy("lp", "side").agg(F.collect_set("f").alias("keep"))  # bounded by LEAST_SHARE
+    # Numbers stand for the features while pairs are counted.
+    known = cut(every.where(F.col("x") >= LEAST_COUNT).withColumn("no", F.monotonically_increasing_id()))
 
-    def side(f: str) -> DataFrame:
-        return kept.where(F.col("side") == f).select("lp", F.col("keep").alias("keep_" + f))
+    def side(s: str) -> DataFrame:
+        f = p.select("id", "lp", F.explode("f" + s).alias("f")).join(small(known.where(F.col("side") == s).select("lp", "f", "no")), ["lp", "f"])
+        return f.groupBy("id").agg(F.collect_list("no").alias(s))
 
-    both = p.join(F.broadcast(side("a")), "lp").join(F.broadcast(side("b")), "lp").select(
-        "lp", F.array_intersect("fa", "keep_a").alias("fa"), F.array_intersect("fb", "keep_b").alias("fb"))
-    k = both.select("lp", F.explode("fa").alias("a"), "fb").select("lp", "a", F.explode("fb").alias("b")).groupBy("lp", "a", "b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_COUNT)
-    e = k.join(known.where("side = 'a'").select("lp", F.col("f").alias("a"), "x", "n"), ["lp", "a"])
-    e = e.join(known.where("side = 'b'").select("lp", F.col("f").alias("b"), F.col("x").alias("y")), ["lp", "b"])
+    both = side("a").join(side("b"), "id")
+    k = both.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEAST_PAIRS)
+    e = k.join(small(known.where("side = 'a'").select("lp", F.col("no").alias("a"), F.col("f").alias("fa"), "x", "n")), "a")
+    e = e.join(small(known.where("side = 'b'").select(F.col("no").alias("b"), F.col("f").alias("fb"), F.col("x").alias("y"))), "b")
 
     def ll(k, n, p):
         q = F.greatest(F.least(p, F.lit(1 - 1e-9)), F.lit(1e-9))
@@ -121,13 +121,13 @@ def lexicon(pairs: DataFrame) -> Lexicon:
     rest = F.greatest(nn - x, F.lit(1.0))
     g2 = 2 * (ll(kk, x, kk / x) + ll(y - kk, rest, (y - kk) / rest) - ll(kk, x, y / nn) - ll(y - kk, rest, y / nn))
     w = ((kk / x - y / nn) + (kk / y - x / nn)) / 2
-    entries = e.where((kk * nn > x * y) & (g2 >= LEAST_G2) & (w >= LEAST_WEIGHT)).select("lp", "a", "b", w.alias("w"))
+    entries = e.where((kk * nn > x * y) & (g2 >= LEAST_G2) & (w >= LEAST_WEIGHT)).groupBy("lp", F.col("fa").alias("a")).agg(F.collect_list(F.struct(F.col("fb").alias("b"), w.alias("w"))).alias("bs"))
     rare = every.where("x <= 2")
     shared = rare.where("side = 'a'").select("lp", "f").join(rare.where("side = 'b'").select("lp", "f", F.lit(1).alias("hit")), ["lp", "f"], "left")
     copying = shared.groupBy("lp").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share")).where(F.col("share") >= COPY_SHARE)
-    return Lexicon(
-        {(r.lp, r.side, r.f): math.log((r.n + 1) / (r.x + 0.5)) for r in known.collect()},
-        [(r.lp, r.a, r.b, r.w) for r in entries.collect()], {r.lp for r in copying.collect()})
+    idf = known.select("lp", "side", "f", F.log((F.col("n") + 1) / (F.col("x") + 0.5)).alias("w"))
+    top = idf.groupBy("lp").agg(F.max("w").alias("w"))  # one row per language pair, as copying
+    return Lexicon(cut(entries), idf, {r.lp for r in copying.collect()}, {r.lp: 1 + max(r.w, 3.0) for r in top.collect()})
 
 
 def assign(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -206,20 +206,13 @@ def _hungarian(cost: np.ndarray) -> list[int]:
 
 
 class _Scorer:
-    """Scores of feature sets of one language pair."""
-
-    def __init__(self, lex: Lexicon, lp: str):
-        self.idf: list[dict[str, float]] = [{}, {}]
-        for (p, side, f), w in lex.idf.items():
-            if p == lp:
-                self.idf[side == "b"][f] = w
-        self.pairs: dict[str, list[tuple[str, float]]] = {}
-        for p, a, b, w in lex.entries:
-            if p == lp:
-                self.pairs.setdefault(a, []).append((b, w))
+    """Scores of feature sets with the part of the lexicon that a block of bitexts needs."""
+
+    def __init__(self, idf: list[dict[str, float]], pairs: dict[str, list[tuple[str, float]]], copies: bool, unseen: float):
+        self.idf, self.pairs = idf, pairs
         # Languages that copy rare words: an unseen word without its copy speaks against a pair.
-        self.copies = lp in lex.copies
-        self.unseen = 1 + max([*self.idf[0].values(), *self.idf[1].values(), 3.0])
+        self.copies = copies
+        self.unseen = unseen
 
     def score(self, fa: set[str], fb: set[str]) -> float:
         hit: dict[str, float] = {}
@@ -228,7 +221,7 @@ class _Scorer:
             best, entry = 0.0, self.pairs.get(a)
             if a in fb:
                 best = hit[a] = 1.0
-            elif entry:
+            elif entry is not None:
                 for b, w in entry:
                     if b in fb:
                         best = max(best, w)
@@ -298,7 +291,7 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
     x, y = rv.alias("x"), rv.alias("y")
     pairs = x.join(y, F.expr("x.unit_id = y.unit_id and struct(x.lang, x.wit) < struct(y.lang, y.wit)")).select(
         F.concat_ws("-", "x.lang", "y.lang").alias("lp"), F.col("x.lang").alias("lang_a"), F.col("x.text").alias("text_a"), F.col("y.lang").alias("lang_b"), F.col("y.text").alias("text_b"))
-    shared = units.sparkSession.sparkContext.broadcast(lexicon(pairs))
+    lex = lexicon(pairs)
 
     free = t.where("unit_status = 'unassigned'")
     wits = free.groupBy("bitext_id").agg(F.array_sort(F.collect_set(F.struct("lang", "wit"))).alias("w")).where("size(w) = 2")
@@ -315,12 +308,25 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
     s = free.select("bitext_id", "unit_id", "unit_number", "unit_order", "lang", "lp", "side", F.posexplode(cut_udf("text")).alias("no", "s"))
     s = s.select("bitext_id", "unit_id", "unit_number", "unit_order", "lp", "side", "no", features_udf("s", "lang").alias("feats"))
     s = s.join(planned, ["bitext_id", "unit_id"], "left")
-    scorers: dict[str, _Scorer] = {}
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        lp = group["lp"].iloc[0]
-        if lp not in scorers:
-            scorers[lp] = _Scorer(shared.value, lp)
-        return _solve(group, scorers[lp])
-
-    return s.groupBy("bitext_id").applyInPandas(solve, "unit_a string, unit_b string").distinct()
+    # Bitexts of a language pair in blocks of about BLOCK: each block gets the entries and weights of its features once.
+    many = s.groupBy("lp").agg(F.ceil(F.count_distinct("bitext_id") / BLOCK).alias("blocks"))  # one row per language pair
+    s = table(s.join(F.broadcast(many), "lp").withColumn("block", F.pmod(F.xxhash64("bitext_id"), "blocks")).drop("blocks"), "sentences")
+    f = s.select("lp", "block", "side", F.explode("feats").alias("f")).distinct()
+    known = f.join(small(lex.known), ["lp", "side", "f"]).select("lp", "block", "side", "f", "w", F.lit(None).cast(lex.entries.schema["bs"].dataType).alias("bs"))
+    entry = f.where("side = 'a'").join(small(lex.entries.withColumnRenamed("a", "f")), ["lp", "f"]).select("lp", "block", F.lit(None).cast("string").alias("side"), "f", F.lit(None).cast("double").alias("w"), "bs")
+    copies, unseen = lex.copies, lex.unseen
+
+    def solve(key: tuple, group: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        have = set()
+        for x in group.loc[group["side"] == "b", "feats"]:
+            have.update(x)
+        k = part[part["of"].notna()]
+        idf = [dict(zip(x["f"], x["w"])) for x in (k[k["of"] == "a"], k[k["of"] == "b"])]
+        e = part[part["of"].isna()]
+        # A feature whose entries are all missing here keeps its empty list: it stays unmatched.
+        sc = _Scorer(idf, {a: [(r["b"], r["w"]) for r in bs if r["b"] in have] for a, bs in zip(e["f"], e["bs"])}, key[0] in copies, unseen.get(key[0], 4.0))
+        got = [_solve(x, sc) for _, x in group.groupby("bitext_id")]
+        return pd.concat(got) if got else pd.DataFrame({"unit_a": [], "unit_b": []}, dtype=str)
+
+    part = known.unionByName(entry).toDF("for_lp", "for_block", "of", "f", "w", "bs")
+    return s.groupBy("lp", "block").cogroup(part.groupBy("for_lp", "for_block")).applyInPandas(solve, "unit_a string, unit_b string").distinct()

@@ -48,3 +48,20 @@ def test_pairs_of_toy_languages(spark):
     got = {tuple(r) for r in align(df, plans).collect()}
     assert got == {("u1", "u5"), ("u2", "u4"), ("u2", "u6")}
     assert align(df.limit(0), plans.limit(0)).collect() == []
+
+
+def test_rare_words_keep_their_entries_in_a_large_corpus(spark, monkeypatch):
+    from loomtext.llm import bitext
+
+    common, rare = {f"en{c}q": f"de{c}x" for c in "abcdefgh"}, {f"rar{c}u": f"sel{c}o" for c in "abcdef"}
+    rnd = random.Random(5)
+    rows = []
+    for i in range(1200):
+        w = rnd.sample(list(common), 3) + (list(rare) if i < 3 else [])  # three of 1,200 texts
+        rows.append((f"r{i:04}", 1, None, 1, "reviewed", {"eng_a": " ".join(w) + ".", "deu_b": " ".join({**common, **rare}[x] for x in w) + "."}, "z"))
+    for k in (7, 8):
+        rows += [(f"u{k}", k, "1", 1, "unassigned", {"eng_a": "Rarau rarbu rarcu."}, "z"), (f"v{k}", k, None, 1, "unassigned", {"deu_b": "Selao selbo selco."}, "z")]
+    df, plans = spark.createDataFrame(rows, UNITS), spark.createDataFrame([], PLANS)
+    assert {tuple(r) for r in align(df, plans).collect()} == {("u7", "v7"), ("u8", "v8")}
+    monkeypatch.setattr(bitext, "BLOCK", 1)  # raises AttributeError before blocks existed
+    assert {tuple(r) for r in align(df, plans).collect()} == {("u7", "v7"), ("u8", "v8")}
