@@ -230,7 +230,7 @@ def reanchor_tokens(s, d):
     e = _editions(s, d).select("doc_id", F.transform("a_tokens", F.lower).alias("a"), F.transform("b_tokens", F.lower).alias("b"))
     old = e.select("doc_id", F.posexplode("a").alias("idx", "norm"))
     new = e.select("doc_id", F.posexplode("b").alias("idx", "norm"))
-    return tokens.unique_context_pairs(old, new, "doc_id", (1, 3)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("new_idx").cast("bigint")).alias("new_sum"))
+    return tokens.unique_context_pairs(old, new, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("new_idx").cast("bigint")).alias("new_sum"))
 
 
 def fold_search(s, d):

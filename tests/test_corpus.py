@@ -116,3 +116,13 @@ def test_every_query_has_a_known_name():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_reanchor_query_uses_long_windows(spark, tmp_path):
+    from loomtext.plans import corpus
+
+    # Binary de Bruijn sequence: every window of three repeats, every window of five stands once.
+    bits = "00000100011001010011101011011111" + "0000"
+    text = " ".join({"0": "xa", "1": "yb"}[b] for b in bits)
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in corpus.reanchor_tokens(spark, str(tmp_path)).collect()] == [(1, 36, sum(range(36)))]
