@@ -3,8 +3,8 @@
 A lexicon is induced per language pair from the reviewed units: log-likelihood
 of co-occurring features (words, syllables of names, character and syllable
 pairs, numbers).  The sentences of unassigned units are scored against each
-other with it, merged neighbours are tried, and a maximum-weight assignment
-with null costs (Hungarian method) picks the pairs.
+other with it.  A maximum-weight assignment with null costs (Hungarian method)
+is iterated with merged spans of up to LONGEST_SPAN neighbours as candidates.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from loomtext.session import cut, small, table
 LEAST_G2, LEAST_WEIGHT, LEAST_COUNT, LEAST_PAIRS = 10.83, 0.05, 3, 2
 #: Bitexts of one language pair that share one copy of the part of the lexicon they need.
 BLOCK = 250
-#: Score that leaving a sentence unpaired is worth; what a plan's assignment adds; what a merge must gain.
+#: Score that leaving a sentence unpaired is worth; what a plan's assignment adds; what each merged neighbour must gain.
 NULL_SCORE, PLAN_BONUS, MERGE_GAIN = 0.54, 0.1, 0.08
+#: Neighbours of one side that may render one sentence of the other together.
+LONGEST_SPAN = 3
 #: Share of rare words found on both sides from which two languages count as copying them.
 COPY_SHARE = 0.4
 
@@ -215,6 +217,10 @@ class _Scorer:
         self.unseen = unseen
 
     def score(self, fa: set[str], fb: set[str]) -> float:
+        return _mean(self.parts(fa, fb))
+
+    def parts(self, fa: set[str], fb: set[str]) -> tuple[float, float, float, float]:
+        """Weight covered and whole weight of either side."""
         hit: dict[str, float] = {}
         got = whole = 0.0
         for a in fa:
@@ -231,7 +237,7 @@ class _Scorer:
             i = self.idf[0].get(a, self.unseen)
             got += i * best
             whole += i
-        one = got / whole if whole else 0.0
+        one = got, whole
         got = whole = 0.0
         for b in fb:
             if b not in hit and b not in self.idf[1] and not self.copies:
@@ -239,7 +245,70 @@ class _Scorer:
             i = self.idf[1].get(b, self.unseen)
             got += i * hit.get(b, 0.0)
             whole += i
-        return (one + (got / whole if whole else 0.0)) / 2
+        return *one, got, whole
+
+
+def _mean(p: tuple[float, float, float, float]) -> float:
+    return ((p[0] / p[1] if p[1] else 0.0) + (p[2] / p[3] if p[3] else 0.0)) / 2
+
+
+def _merges(parts: np.ndarray, gain: np.ndarray, score, bonus: np.ndarray) -> list[tuple[float, int, int, int]]:
+    """(gain, i, first, last): row i with columns first to last, where that beats i with a part of them.
+
+    ``score(i, first, last)`` is asked only where the bound from ``parts`` allows it: a span covers at
+    most the sum of what its members cover, of no less than the largest whole.
+    """
+    n, m, _ = parts.shape
+    out = []
+    for size in range(2, LONGEST_SPAN + 1):
+        for j in range(m - size + 1):
+            p = parts[:, j:j + size]
+            got, whole = p[:, :, 0::2].sum(1), p[:, :, 1::2].max(1)
+            bound = np.minimum(1, np.divide(got, whole, out=np.zeros_like(got), where=whole > 0)).mean(1)
+            less = NULL_SCORE + MERGE_GAIN * (size - 1) - bonus[:, j:j + size].max(1)
+            least = np.maximum(gain[:, j:j + size].max(1) + 1e-12, 0)
+            for i in np.flatnonzero(bound - less > least).tolist():
+                g = score(i, j, j + size - 1) - less[i]
+                # A part of the span that gains no less leaves the rest free.
+                if g > least[i] and all(g > x for x, i2, a, b in out if i2 == i and a >= j and b < j + size):
+                    out.append((float(g), i, j, j + size - 1))
+    return out
+
+
+def assign_spans(gain: np.ndarray, spans: list[tuple[float, tuple[int, ...], tuple[int, ...]]]) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Pairs (rows, columns) of an assignment in which ``spans`` (gain, rows, columns) may stand for single pairs.
+
+    Starting with single pairs, the span (or the release of one taken) that raises the total most is
+    settled, and the rest is assigned again, until nothing raises it.  So a span displaces single
+    matches and spans whose gain is smaller in all.  The total rises in every step.
+    """
+    def solve(taken: tuple[int, ...]) -> tuple[float, list]:
+        g = gain.copy()
+        for s in taken:
+            g[list(spans[s][1])] = 0
+            g[:, list(spans[s][2])] = 0
+        one = assign(g)
+        return sum(gain[i, j] for i, j in one) + sum(spans[s][0] for s in taken), one
+
+    def clash(s: int, t: int) -> bool:
+        return bool(set(spans[s][1]) & set(spans[t][1]) or set(spans[s][2]) & set(spans[t][2]))
+
+    taken: tuple[int, ...] = ()
+    total, one = solve(taken)
+    while True:
+        best = None
+        for s in range(len(spans)):
+            tried = tuple(t for t in taken if t != s) if s in taken else (*(t for t in taken if not clash(s, t)), s)
+            # Nothing is re-solved where the span cannot raise the total even if nothing is displaced.
+            lost = sum(spans[t][0] for t in taken if t not in tried)
+            if s not in taken and spans[s][0] <= lost and all(gain[i].max() <= 0 for t in taken if t not in tried for i in spans[t][1]):
+                continue
+            t, o = solve(tried)
+            if t > total + 1e-9 and (best is None or t > best[0] + 1e-12):
+                best = t, o, tried
+        if best is None:
+            return [((i,), (j,)) for i, j in one] + [spans[s][1:] for s in taken]
+        total, one, taken = best
 
 
 def _solve(units: pd.DataFrame, sc: _Scorer) -> pd.DataFrame:
@@ -248,7 +317,8 @@ def _solve(units: pd.DataFrame, sc: _Scorer) -> pd.DataFrame:
     if not a or not b:
         return pd.DataFrame({"unit_a": [], "unit_b": []}, dtype=str)
     fa, fb = [set(x["feats"]) for x in a], [set(x["feats"]) for x in b]
-    m = np.array([[sc.score(x, y) for y in fb] for x in fa])
+    parts = np.array([[sc.parts(x, y) for y in fb] for x in fa])
+    m = np.divide(parts[:, :, 0::2], parts[:, :, 1::2], out=np.zeros_like(parts[:, :, 0::2]), where=parts[:, :, 1::2] > 0).mean(2)
     planned = {(str(n), u) for x in b for n in (x["planned"] if x["planned"] is not None else []) for u in [x["unit_id"]]}
     planned |= {(str(n), x["unit_id"]) for x in a for n in (x["planned"] if x["planned"] is not None else [])}
     bonus = np.zeros_like(m)
@@ -257,17 +327,11 @@ def _solve(units: pd.DataFrame, sc: _Scorer) -> pd.DataFrame:
             for j, y in enumerate(b):
                 if (str(x["unit_number"]), y["unit_id"]) in planned or (str(y["unit_number"]), x["unit_id"]) in planned:
                     bonus[i, j] = PLAN_BONUS
-    got = assign(m + bonus - NULL_SCORE)
-    out = {(a[i]["unit_id"], b[j]["unit_id"]) for i, j in got}
-    # One sentence may be rendered by two neighbours: the free one joins if the merged span scores better.
-    used_a, used_b = {i for i, _ in got}, {j for _, j in got}
-    for i, j in got:
-        for j2 in (j - 1, j + 1):
-            if 0 <= j2 < len(b) and j2 not in used_b and sc.score(fa[i], fb[j] | fb[j2]) >= m[i, j] + MERGE_GAIN:
-                out.add((a[i]["unit_id"], b[j2]["unit_id"]))
-        for i2 in (i - 1, i + 1):
-            if 0 <= i2 < len(a) and i2 not in used_a and sc.score(fa[i] | fa[i2], fb[j]) >= m[i, j] + MERGE_GAIN:
-                out.add((a[i2]["unit_id"], b[j]["unit_id"]))
+    gain = m + bonus - NULL_SCORE
+    many = [(g, (i,), tuple(range(j, k + 1))) for g, i, j, k in _merges(parts, gain, lambda i, j, k: sc.score(fa[i], set().union(*fb[j:k + 1])), bonus)]
+    turned = parts.transpose(1, 0, 2)
+    many += [(g, tuple(range(i, k + 1)), (j,)) for g, j, i, k in _merges(turned, gain.T, lambda j, i, k: sc.score(set().union(*fa[i:k + 1]), fb[j]), bonus.T)]
+    out = {(a[i]["unit_id"], b[j]["unit_id"]) for rows, cols in assign_spans(gain, many) for i in rows for j in cols}
     rows = sorted((min(x), max(x)) for x in out)
     return pd.DataFrame(rows, columns=["unit_a", "unit_b"]).astype(str)
 

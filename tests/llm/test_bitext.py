@@ -65,3 +65,27 @@ def test_rare_words_keep_their_entries_in_a_large_corpus(spark, monkeypatch):
     assert {tuple(r) for r in align(df, plans).collect()} == {("u7", "v7"), ("u8", "v8")}
     monkeypatch.setattr(bitext, "BLOCK", 1)  # raises AttributeError before blocks existed
     assert {tuple(r) for r in align(df, plans).collect()} == {("u7", "v7"), ("u8", "v8")}
+
+
+def _spans(fa, fb):
+    from loomtext.llm import bitext
+
+    every = {f for x in [*fa, *fb] for f in x}
+    sc = bitext._Scorer([dict.fromkeys(every, 1.0)] * 2, {f: [] for f in every}, False, 4.0)
+    rows = [("a", i, x) for i, x in enumerate(fa)] + [("b", i, x) for i, x in enumerate(fb)]
+    import pandas as pd
+
+    units = pd.DataFrame([{"side": s, "unit_order": i, "unit_id": f"{s}{i}", "no": 0, "unit_number": None, "planned": None, "feats": list(x)} for s, i, x in rows])
+    return {tuple(r) for r in bitext._solve(units, sc).itertuples(index=False)}
+
+
+def test_merged_neighbours_enter_the_assignment():
+    # Halves that score below NULL_SCORE alone (4/8 of the sentence, 4/7 of theirs).
+    assert _spans(["abcdefgh"], ["abcdUVW", "efghXYZ"]) == {("a0", "b0"), ("a0", "b1")}
+    # A sentence rendered by three, from either side.
+    assert _spans(["abcdefghi"], ["abc", "def", "ghi"]) == {("a0", "b0"), ("a0", "b1"), ("a0", "b2")}
+    assert _spans(["abc", "def", "ghi"], ["abcdefghi"]) == {("a0", "b0"), ("a1", "b0"), ("a2", "b0")}
+    # A neighbour taken by a worse match is displaced.
+    assert _spans(["abcdefgh", "efXY"], ["abcd", "efgh"]) == {("a0", "b0"), ("a0", "b1")}
+    # Two sentences that match alone stay two pairs.
+    assert _spans(["abcd", "efgh"], ["abcd", "efgh"]) == {("a0", "b0"), ("a1", "b1")}
