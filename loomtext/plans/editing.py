@@ -74,6 +74,40 @@ def phrase_token_runs(s, d):
     return library.token_runs(sp, t)[0].select("unit_id", F.col("no").cast("bigint").alias("no"), F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
 
 
+def _tiles(docs, step: int, size: int):
+    """doc_id, no, start_pos, end_pos: spans of ``size`` characters, one every ``step``, to the end of each text."""
+    x = docs.select("doc_id", F.length("text").alias("n"), F.posexplode(F.expr(f"sequence(0, length(text) - 1, {step})")).alias("no", "start_pos"))
+    return x.select("doc_id", "no", "start_pos", F.least(F.col("start_pos") + size, "n").alias("end_pos"))
+
+
+def _texts(s, d):
+    return read(s, d, "documents", "doc_id", "source", "text").where("length(text) > 0")
+
+
+def passage_slices_whole(s, d):
+    b = _texts(s, d).select(F.col("source").alias("component_id"), F.col("doc_id").alias("block_id"), "doc_id", "text")
+    f = _tiles(b, 40, 20).join(b.select("doc_id", "component_id"), "doc_id").select(F.lit("p").alias("passage_id"), F.col("doc_id").alias("source_id"), "component_id", F.col("doc_id").alias("block_id"), F.col("no").alias("ord"), "start_pos", "end_pos")
+    return library.passage_texts(f, b.drop("doc_id")).select("source_id", "text")
+
+
+def phrase_token_runs_whole(s, d):
+    docs = _texts(s, d)
+    t = tokens.token_offsets(docs, "doc_id", "text").select(F.col("doc_id").alias("key"), "idx", "start_pos", "end_pos")
+    sp = _tiles(docs, 60, 35).select(F.col("doc_id").alias("unit_id"), F.col("doc_id").alias("key"), "no", "start_pos", "end_pos")
+    return library.token_runs(sp, t)[0].select("unit_id", F.col("no").cast("bigint").alias("no"), F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
+
+
+def span_token_overlap_whole(s, d):
+    docs = _texts(s, d)
+    j = spans.span_tokens(_tiles(docs, 70, 70), tokens.token_offsets(docs, "doc_id", "text"), "doc_id")
+    return j.groupBy("s.doc_id", F.col("s.no").cast("bigint").alias("no")).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def spans_of_units_whole(s, d):
+    docs = _texts(s, d).select("doc_id", "text")
+    return units.span_text(tokens.token_offsets(docs, "doc_id", "text").where("idx % 7 <> 2"), docs, "doc_id")
+
+
 def _drafts(s, d):
     lines = read(s, d, "opening_lines", "line_id", "revision", "text").where("text is not null").groupBy("line_id").agg(F.max("revision").alias("revision"), F.min("text").alias("text"))
     base = lines.select(F.col("line_id").alias("target_id"), "revision", F.col("text").alias("value"))
@@ -121,7 +155,7 @@ def line_occurrences(s, d):
 
 
 NAMES = """resolved_overlaps withheld_report shared_span_groups plan_pieces plan_problems exact_sequences passage_slices phrase_token_runs draft_conflicts draft_applied proposal_changes
-import_merge unique_readings review_ledger line_occurrences""".split()
+import_merge unique_readings review_ledger line_occurrences passage_slices_whole phrase_token_runs_whole span_token_overlap_whole spans_of_units_whole""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _S = (
@@ -153,6 +187,13 @@ _O = (
     f"p as (select doc_id, text, unnest(regexp_extract_all(text, '{_PIECE}')) as surface, generate_subscripts(regexp_extract_all(text, '{_PIECE}'), 1) as pos from documents where length(text) >= 100),"
     " q as (select *, sum(length(surface)) over (partition by doc_id order by pos) as e from p), o as (select doc_id, e - length(surface) as a, e as b, row_number() over (partition by doc_id order by pos) - 1 as idx from q where regexp_matches(surface, '^[\\p{L}\\p{M}\\p{N}]'))"
 )
+_W = _O.replace("length(text) >= 100", "length(text) > 0")
+
+
+def _tiles_sql(step: int, size: int) -> str:
+    return f"s as (select doc_id, text, x // {step} as no, x, least(x + {size}, length(text)) as y from (select doc_id, text, unnest(generate_series(0, length(text) - 1, {step})) as x from documents where length(text) > 0) v)"
+
+
 SQL = {
     "resolved_overlaps": f"with {_S} select passage_id, source_id, unit_id, status, lo, hi, group_id from o",
     "withheld_report": f"with {_S} select method, status, count(*) as n from o group by all",
@@ -162,6 +203,13 @@ SQL = {
     "exact_sequences": f"with k as (select doc_id, [lower(x) for x in regexp_extract_all(text, '{_TOK}')] as ts from documents where length(text) > 0), x as (select doc_id, ts, ts[3:6] as f from k where len(ts) >= 6),"
         " h as (select doc_id, unnest(generate_series(1, len(ts) - 3)) as i, ts, f from x), m as (select doc_id, i from h where ts[i:i+3] = f)"
         " select doc_id as unit_id, min(i) - 1 as lo, min(i) + 2 as hi from m group by 1 having count(*) = 1",
+    "passage_slices_whole": f"with {_tiles_sql(40, 20)}, g as (select doc_id as source_id, string_agg(substr(text, x + 1, 20), chr(10) || chr(10) order by x) as text from s group by doc_id) select * from g where trim(text) <> ''",
+    "phrase_token_runs_whole": f"with {_W}, {_tiles_sql(60, 35)},"
+        " g as (select s.doc_id, no, min(idx) filter (a >= x and b <= y) as lo, max(idx) filter (a >= x and b <= y) as hi, coalesce(bool_or(not (a >= x and b <= y)), false) as cuts from s left join o on o.doc_id = s.doc_id and a < y and b > x group by s.doc_id, no),"
+        " h as (select *, lag(hi) over (partition by doc_id order by no) as prev from g) select doc_id as unit_id, no, lo, hi from h where lo is not null and not cuts and not coalesce(lo <= prev + 1, false)",
+    "span_token_overlap_whole": f"with {_W}, {_tiles_sql(70, 70)} select s.doc_id, no, min(idx) as lo, max(idx) as hi, count(*) as n from s join o on o.doc_id = s.doc_id and a < y and b > x group by s.doc_id, no",
+    "spans_of_units_whole": f"with {_W}, g as (select *, idx - row_number() over (partition by doc_id order by idx) as g from o where idx % 7 <> 2), r as (select doc_id, g, cast(min(a) as bigint) as a, cast(max(b) as bigint) as b from g group by doc_id, g)"
+        " select doc_id, string_agg(substr(text, a + 1, b - a), ' … ' order by a) as span_text from r join documents using (doc_id) group by doc_id",
     "passage_slices": "select doc_id as source_id, substr(text, 1, 20) || case when length(text) >= 60 then chr(10) || chr(10) || substr(text, 41, 20) else '' end as text from documents where length(text) >= 20 and trim(substr(text, 1, 20)) <> ''",
     "phrase_token_runs": f"with {_O}, s as (select unnest([1, 2]) as no, unnest([0, 60]) as x, unnest([30, 95]) as y),"
         " g as (select doc_id, no, min(idx) filter (a >= x and b <= y) as lo, max(idx) filter (a >= x and b <= y) as hi, bool_or(not (a >= x and b <= y)) as cuts from o join s on a < y and b > x group by all),"
