@@ -343,7 +343,7 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
     target_token_ids; ``plans``: bitext_id, source_id, passages.  The language of
     a target is the first three letters of its witness id.  Repeated unit ids
     count once.  Null bitexts, empty or null targets pair with nothing, a bitext
-    with one witness has no pairs; units with several witnesses teach the
+    with one witness has no pairs, of three or more every two are solved on their own; units with several witnesses teach the
     lexicon.  Without reviewed units only equal words and numbers count.  A
     bitext (one passage in two witnesses) is solved in one task.
     """
@@ -358,10 +358,12 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
     lex = lexicon(pairs)
 
     free = t.where("unit_status = 'unassigned'")
-    wits = free.groupBy("bitext_id").agg(F.array_sort(F.collect_set(F.struct("lang", "wit"))).alias("w")).where("size(w) = 2")
-    free = free.join(wits, "bitext_id").select(
+    wits = free.groupBy("bitext_id").agg(F.array_sort(F.collect_set(F.struct("lang", "wit"))).alias("w"))
+    # Every pair of witnesses of a bitext is solved on its own.
+    wits = wits.select("bitext_id", F.posexplode("w").alias("i", "x"), "w").select("bitext_id", "x", F.explode(F.expr("slice(w, i + 2, size(w))")).alias("y"))
+    free = free.join(wits, "bitext_id").where("wit in (x.wit, y.wit)").select(
         "bitext_id", "unit_id", "unit_number", F.coalesce("unit_order", F.lit(0)).alias("unit_order"), "lang", "text",
-        F.concat_ws("-", F.col("w")[0].lang, F.col("w")[1].lang).alias("lp"), F.when(F.col("wit") == F.col("w")[0].wit, "a").otherwise("b").alias("side"), "wit")
+        F.concat_ws("-", "x.lang", "y.lang").alias("lp"), F.concat_ws("|", "x.wit", "y.wit").alias("pair"), F.when(F.col("wit") == F.col("x.wit"), "a").otherwise("b").alias("side"), "wit")
     # A plan names, by order and start phrase, the number a sentence of its witness belongs to.
     pl = plans.where("bitext_id is not null").select("bitext_id", F.col("source_id").alias("wit"), F.explode("passages").alias("k", "items")).select("bitext_id", "wit", F.explode("items").alias("i"))
     pl = pl.select("bitext_id", "wit", F.col("i")[0].alias("number"), F.col("i")[1].alias("phrase")).where("number <> '_' and length(phrase) > 0").distinct()
@@ -369,8 +371,8 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
     # A phrase that begins several units decides nothing.
     one = hits.groupBy("bitext_id", "wit", "number", "phrase").agg(F.min("unit_id").alias("unit_id"), F.max("unit_id").alias("last")).where("unit_id = last")
     planned = one.groupBy("bitext_id", "unit_id").agg(F.collect_set("number").alias("planned"))
-    s = free.select("bitext_id", "unit_id", "unit_number", "unit_order", "lang", "lp", "side", F.posexplode(cut_udf("text")).alias("no", "s"))
-    s = s.select("bitext_id", "unit_id", "unit_number", "unit_order", "lp", "side", "no", features_udf("s", "lang").alias("feats"))
+    s = free.select("bitext_id", "unit_id", "unit_number", "unit_order", "lang", "lp", "pair", "side", F.posexplode(cut_udf("text")).alias("no", "s"))
+    s = s.select("bitext_id", "unit_id", "unit_number", "unit_order", "lp", "pair", "side", "no", features_udf("s", "lang").alias("feats"))
     s = s.join(planned, ["bitext_id", "unit_id"], "left")
     # Bitexts of a language pair in blocks of about BLOCK: each block gets the entries and weights of its features once.
     many = s.groupBy("lp").agg(F.ceil(F.count_distinct("bitext_id") / BLOCK).alias("blocks"))  # one row per language pair
@@ -389,7 +391,7 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
         e = part[part["of"].isna()]
         # A feature whose entries are all missing here keeps its empty list: it stays unmatched.
         sc = _Scorer(idf, {a: [(r["b"], r["w"]) for r in bs if r["b"] in have] for a, bs in zip(e["f"], e["bs"])}, key[0] in copies, unseen.get(key[0], 4.0))
-        got = [_solve(x, sc) for _, x in group.groupby("bitext_id")]
+        got = [_solve(x, sc) for _, x in group.groupby(["bitext_id", "pair"])]
         return pd.concat(got) if got else pd.DataFrame({"unit_a": [], "unit_b": []}, dtype=str)
 
     part = known.unionByName(entry).toDF("for_lp", "for_block", "of", "f", "w", "bs")

@@ -50,6 +50,12 @@ def test_pairs_of_toy_languages(spark):
     assert align(df.limit(0), plans.limit(0)).collect() == []
 
 
+def test_a_third_witness_drops_nothing(spark):
+    rows = [("u1", 7, "1", 1, "unassigned", {"eng_a": "alpha beta gamma."}, "z"), ("v1", 7, None, 1, "unassigned", {"deu_b": "alpha beta gamma."}, "z"), ("w1", 7, None, 1, "unassigned", {"fra_c": "quite other words."}, "z")]
+    got = align(spark.createDataFrame(rows, UNITS), spark.createDataFrame([], PLANS)).collect()
+    assert [tuple(r) for r in got] == [("u1", "v1")]
+
+
 def test_rare_words_keep_their_entries_in_a_large_corpus(spark, monkeypatch):
     from loomtext.llm import bitext
 
