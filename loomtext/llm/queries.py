@@ -46,7 +46,7 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "checked_readings", "reading_id", "document_id", "pdf_page", "raw_block_ids", "text", "reading_layer")
+    return read(spark, d, "checked_readings", "reading_id", "document_id", "pdf_page", "raw_block_ids", "text", "reading_layer", "received_at")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -36,3 +36,31 @@ def test_skeleton(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     from pyspark.sql import functions as F
     assert df.where(skeleton(F.col("a")) != skeleton(F.col("b"))).collect() == []
+
+
+def _pages(lines):
+    return [(f"p{i:03}", "eng_a", None, None, t, "raw", 1) for i, t in enumerate(lines)]
+
+
+def test_context_decides(spark):
+    # "born" and "bom" are drawn alike; "born" is rare beside "bom" but right after "was".
+    lines = ["the bom of that tree grows tall"] * 40 + ["a king was born here once", "a queen was born here too", "the born of this tree falls down"]
+    got = {tuple(r) for r in noise(spark.createDataFrame(_pages(lines), COLS)).collect()}
+    assert got == {("p042", 1, "misread")}
+    # Without the sentences that support it, the same rare form is a misreading wherever it stands.
+    alone = lines[:41]
+    assert {tuple(r) for r in noise(spark.createDataFrame(_pages(alone), COLS)).collect()} == {("p040", 1, "misread")}
+    # A leaf reference is no misread Roman number, a word of two signs in its usual place is one.
+    lines = ["see part iv now in the house and so"] * 30 + ["on leaf 1v it ends there and so", "see part iv now 1n the house and so"]
+    got = {tuple(r) for r in noise(spark.createDataFrame(_pages(lines), COLS)).collect()}
+    assert got == {("p031", 1, "misread")}
+
+
+def test_long_headers_and_late_deliveries(spark):
+    head = "the long and winding account of all the readings of the great book of names as it was told"
+    body = "the hand of the king supports the river and the mind-only gloss names the cloud while the city sleeps and the moon rises over the hill again."
+    rows = [(f"h{i}", "eng_a", 1, None, f"{head.upper()} | {i}\n{body}", "raw", 1) for i in range(9)]
+    df = spark.createDataFrame([(*r, 1) for r in rows] + [("h0", "eng_a", 1, None, body, "raw", 1, 2)], COLS + ", received_at int")
+    df = df.withColumn("received_at", df.received_at.cast("string").cast("int")).selectExpr("* except (received_at)", "timestamp_seconds(received_at) as received_at")
+    got = {tuple(r) for r in noise(df).collect()}
+    assert got == {(f"h{i}", 1, "header") for i in range(1, 9)}
