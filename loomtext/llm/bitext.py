@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -30,6 +31,8 @@ BLOCK = 250
 NULL_SCORE, PLAN_BONUS, MERGE_GAIN = 0.54, 0.1, 0.08
 #: Neighbours of one side that may render one sentence of the other together.
 LONGEST_SPAN = 3
+#: Entries looked up and pairs scored at once.
+EXPANDED, DENSE = 2_000_000, 1_000_000
 #: Share of rare words found on both sides from which two languages count as copying them.
 COPY_SHARE = 0.4
 
@@ -255,23 +258,27 @@ def _mean(p: tuple[float, float, float, float]) -> float:
 def _merges(parts: np.ndarray, gain: np.ndarray, score, bonus: np.ndarray) -> list[tuple[float, int, int, int]]:
     """(gain, i, first, last): row i with columns first to last, where that beats i with a part of them.
 
-    ``score(i, first, last)`` is asked only where the bound from ``parts`` allows it: a span covers at
-    most the sum of what its members cover, of no less than the largest whole.
+    ``score`` is asked, for all spans of one length together, only where the bound from ``parts`` allows it:
+    a span covers at most the sum of what its members cover, of no less than the largest whole.
     """
-    n, m, _ = parts.shape
-    out = []
-    for size in range(2, LONGEST_SPAN + 1):
-        for j in range(m - size + 1):
-            p = parts[:, j:j + size]
-            got, whole = p[:, :, 0::2].sum(1), p[:, :, 1::2].max(1)
-            bound = np.minimum(1, np.divide(got, whole, out=np.zeros_like(got), where=whole > 0)).mean(1)
-            less = NULL_SCORE + MERGE_GAIN * (size - 1) - bonus[:, j:j + size].max(1)
-            least = np.maximum(gain[:, j:j + size].max(1) + 1e-12, 0)
-            for i in np.flatnonzero(bound - less > least).tolist():
-                g = score(i, j, j + size - 1) - less[i]
-                # A part of the span that gains no less leaves the rest free.
-                if g > least[i] and all(g > x for x, i2, a, b in out if i2 == i and a >= j and b < j + size):
-                    out.append((float(g), i, j, j + size - 1))
+    m = parts.shape[1]
+    out: list[tuple[float, int, int, int]] = []
+    for size in range(2, min(LONGEST_SPAN, m) + 1):
+        width = m - size + 1
+        got = sum(parts[:, o:o + width, 0::2] for o in range(size))
+        whole, most, extra = parts[:, :width, 1::2], gain[:, :width], bonus[:, :width]
+        for o in range(1, size):
+            whole = np.maximum(whole, parts[:, o:o + width, 1::2])
+            most, extra = np.maximum(most, gain[:, o:o + width]), np.maximum(extra, bonus[:, o:o + width])
+        bound = np.minimum(1, np.divide(got, whole, out=np.zeros_like(got), where=whole > 0)).mean(2)
+        less = NULL_SCORE + MERGE_GAIN * (size - 1) - extra
+        least = np.maximum(most + 1e-12, 0)
+        rows, cols = np.nonzero(bound - less > least)
+        for i, j, x in zip(rows.tolist(), cols.tolist(), score(rows, cols, size)):
+            g = x - less[i, j]
+            # A part of the span that gains no less leaves the rest free.
+            if g > least[i, j] and all(g > x for x, i2, p, q in out if i2 == i and p >= j and q < j + size):
+                out.append((float(g), i, j, j + size - 1))
     return out
 
 
@@ -311,29 +318,292 @@ def assign_spans(gain: np.ndarray, spans: list[tuple[float, tuple[int, ...], tup
         total, one, taken = best
 
 
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+
+class _Block:
+    """Sentences of some bitexts with the lexicon they need, all features as numbers.
+
+    ``feats``: one array of feature numbers per sentence; ``group``: bitext and pair of witnesses of each
+    sentence, numbered in order; ``left``: whether it stands on side a.  The score of two sentences is put
+    together from their common entries only, found by joining the features of all sentences at once.
+    """
+
+    def __init__(self, feats: list[np.ndarray], group: np.ndarray, left: np.ndarray, n: int, idf: tuple[np.ndarray, np.ndarray],
+                 entries: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], copies: bool, unseen: float):
+        self.feats, self.group, self.left, self.n, self.many = feats, group, left, n, max(1, len(feats))
+        self.wholes: dict[tuple[int, int], float] = {}
+        #: Is a feature known on side a or b, its weight there, and has it entries?
+        self.known = [~np.isnan(x) for x in idf]
+        self.weight = [np.where(k, x, unseen) for k, x in zip(self.known, idf)]
+        ea, eb, ew, has = entries
+        order = np.argsort(ea, kind="stable")
+        self.ea, self.eb, self.ew, self.has = ea[order], eb[order], ew[order], has
+        size = np.fromiter(map(len, feats), np.int64, len(feats))
+        self.of = np.repeat(np.arange(len(feats)), size)
+        self.flat = np.concatenate(feats) if feats else np.zeros(0, np.int64)
+        side = left[self.of]
+        self.a_of, self.a, b_of, b = self.of[side], self.flat[side], self.of[~side], self.flat[~side]
+        key = group[b_of] * n + b
+        order = np.argsort(key, kind="stable")
+        self.b_key, self.b_of = key[order], b_of[order]
+        self.sieve = np.zeros(1 << 22, bool)  # most keys asked for are not there; this tells without a search
+        self.sieve[_slot(self.b_key)] = True
+        counted = self.has | (~self.known[0] if copies else np.zeros(n, bool))
+        self.extra_a = ~counted
+        self.base = np.zeros(len(feats))
+        np.add.at(self.base, self.a_of, np.where(counted[self.a], self.weight[0][self.a], 0))
+        self.extra_b = ~self.known[1] & (not copies)
+        np.add.at(self.base, b_of, np.where(self.extra_b[b], 0, self.weight[1][b]))
+
+    def _beside(self, s: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers into ``s`` and the sentences of the other side of the same group that hold ``f``."""
+        key = self.group[s] * self.n + f
+        live = np.flatnonzero(self.sieve[_slot(key)])
+        key = key[live]
+        lo = np.searchsorted(self.b_key, key, "left")
+        k = np.searchsorted(self.b_key, key, "right") - lo
+        rows = np.repeat(live, k)
+        return rows, self.b_of[np.repeat(lo - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(len(rows))] if len(rows) else np.zeros(0, np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence a, sentence b, parts) of all pairs with something in common; parts as of ``_Scorer.parts``."""
+        r, j = self._beside(self.a_of, self.a)
+        same = (self.a_of[r], j, self.a[r])
+        lo = np.searchsorted(self.ea, self.a, "left")
+        k = np.searchsorted(self.ea, self.a, "right") - lo
+        got = [(*same, same[2], np.ones(len(j)), np.ones(len(j), bool))]
+        ends = np.cumsum(k)
+        at = 0
+        while at < len(k):  # entries of as many sentences at once as EXPANDED allows
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPANDED, "right")))
+            kk = k[at:to]
+            occ = np.repeat(np.arange(at, to), kk)
+            e = np.repeat(lo[at:to] - np.concatenate(([0], np.cumsum(kk)[:-1])), kk) + np.arange(len(occ))
+            r, j = self._beside(self.a_of[occ], self.eb[e])
+            got.append((self.a_of[occ[r]], j, self.a[occ[r]], self.eb[e[r]], self.ew[e[r]], np.zeros(len(j), bool)))
+            at = to
+        sa, sb, a, b, w, ident = (np.concatenate(x) for x in zip(*got))
+        self.pair, at = np.unique(sa * self.many + sb, return_inverse=True)
+        # A feature that stands on both sides is its own counterpart; its entries do not count then.
+        self.links = self._own_first(at, a, b, w, ident)
+        self.ends = np.searchsorted(self.links[0], np.arange(len(self.pair) + 1))
+        ia, ib = self.pair // self.many, self.pair % self.many
+        return ia, ib, self._parts(*self.links, self.base[ia], self.base[ib])
+
+    def _own_first(self, at: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Links (of pair or span ``at``, features a and b, weight, identity) in order, without entries of features found themselves."""
+        own = np.unique((at * self.n + a)[ident])
+        keep = np.flatnonzero(ident | ~np.isin(at * self.n + a, own))
+        keep = keep[np.argsort(at[keep], kind="stable")]
+        return at[keep], a[keep], b[keep], w[keep], ident[keep]
+
+    def _parts(self, at, a, b, w, ident, base_a: np.ndarray, base_b: np.ndarray) -> np.ndarray:
+        """Weight covered and whole weight of either side, for every pair or span."""
+        parts = np.zeros((len(base_a), 4))
+        parts[:, 1], parts[:, 3] = base_a, base_b
+        for side, f, extra in ((0, a, self.extra_a), (2, b, self.extra_b)):
+            key = at * self.n + f
+            order = np.argsort(key, kind="stable")
+            key, first = np.unique(key[order], return_index=True)
+            p, f = key // self.n, key % self.n
+            best = np.maximum.reduceat(w[order], first) if len(first) else np.zeros(0)
+            weight = self.weight[side // 2][f]
+            parts[:, side] = np.bincount(p, weight * best, len(base_a))
+            # Beyond the sentence's own sum: on side a what stands on both sides, on side b whatever was hit.
+            add = extra[f] & np.logical_or.reduceat(ident[order], first) if side == 0 and len(first) else extra[f]
+            parts[:, side + 1] += np.bincount(p, np.where(add, weight, 0), len(base_a))
+        return parts
+
+    def _whole(self, first: int, size: int) -> float:
+        """Sum a merged span of sentences of one side has by itself; every feature once."""
+        if (first, size) not in self.wholes:
+            f = np.unique(np.concatenate(self.feats[first:first + size]))
+            own = ~(self.extra_a if self.left[first] else self.extra_b)[f]
+            self.wholes[first, size] = float(self.weight[0 if self.left[first] else 1][f][own].sum())
+        return self.wholes[first, size]
+
+    def span_scores(self, one: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+        """Scores of single sentences ``one`` with spans of ``size`` sentences of the other side, from ``first`` on."""
+        k = len(one)
+        if not k:
+            return np.zeros(0)
+        single = bool(self.left[one[0]])
+        each = np.repeat(np.arange(k), size)
+        other = (first[:, None] + np.arange(size)).ravel()
+        key = one[each] * self.many + other if single else other * self.many + one[each]
+        at = np.searchsorted(self.pair, key)
+        there = (at < len(self.pair)) & (self.pair[np.minimum(at, len(self.pair) - 1)] == key)
+        each, at = each[there], at[there]
+        n = self.ends[at + 1] - self.ends[at]
+        rows = np.repeat(self.ends[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+        _, a, b, w, ident = (x[rows] for x in self.links)
+        links = self._own_first(np.repeat(each, n), a, b, w, ident)
+        mine, merged = self.base[one], np.array([self._whole(f, size) for f in first.tolist()])
+        v = self._parts(*links, *((mine, merged) if single else (merged, mine)))
+        return np.divide(v[:, 0::2], v[:, 1::2], out=np.zeros((k, 2)), where=v[:, 1::2] > 0).mean(1)
+
+
+def _joined(n: int, m: int, edges: list[tuple[int, int]], spans: list[tuple[float, tuple[int, ...], tuple[int, ...]]]) -> list[tuple[list[int], list[int], list]]:
+    """Rows, columns and spans that hang together."""
+    up = list(range(n + m))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in edges:
+        up[root(i)] = root(n + j)
+    for _, rows, cols in spans:
+        for x in (*rows[1:], *(n + c for c in cols)):
+            up[root(rows[0])] = root(x)
+    out: dict[int, tuple[list[int], list[int], list]] = {}
+    for x in sorted({i for i, _ in edges} | {n + j for _, j in edges} | {x for _, r, c in spans for x in (*r, *(n + k for k in c))}):
+        rows, cols, _ = out.setdefault(root(x), ([], [], []))
+        rows.append(x) if x < n else cols.append(x - n)
+    for s in spans:
+        out[root(s[1][0])][2].append(s)
+    return list(out.values())
+
+
+def _solve_block(units: list[dict], block: _Block) -> list[tuple[str, str]]:
+    """Pairs of unit ids of all groups; ``units``: unit_id, unit_number and planned of each sentence, in order."""
+    ia, ib, parts = block.pairs()
+    found = set()
+    cut = np.flatnonzero(np.diff(block.group[ia])) + 1 if len(ia) else np.zeros(0, np.int64)
+    bounds = np.searchsorted(block.group, np.arange(int(block.group[-1]) + 2)) if len(block.group) else np.zeros(1, np.int64)
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(ia)]):
+        if lo == hi:
+            continue
+        g = int(block.group[ia[lo]])
+        own = np.arange(bounds[g], bounds[g + 1])
+        a, b = own[block.left[own]], own[~block.left[own]]
+        first_a, first_b = int(a[0]), int(b[0])  # sentences are ordered by group and side
+        for edges, many in _candidates(block, units, ia[lo:hi] - first_a, ib[lo:hi] - first_b, parts[lo:hi], first_a, first_b, len(a), len(b)):
+            for rows, cols, spans in _joined(len(a), len(b), list(edges), many):
+                r, c = {x: k for k, x in enumerate(rows)}, {x: k for k, x in enumerate(cols)}
+                gain = np.full((len(rows), len(cols)), -1.0)
+                for i in rows:
+                    for j, x in edges.of(i):
+                        gain[r[i], c[j]] = x
+                local = [(x, tuple(r[i] for i in p), tuple(c[j] for j in q)) for x, p, q in spans]
+                for p, q in assign_spans(gain, local):
+                    found.update((units[first_a + rows[i]]["unit_id"], units[first_b + cols[j]]["unit_id"]) for i in p for j in q)
+    return sorted({(min(x), max(x)) for x in found})
+
+
+class _Edges(dict):
+    """(row, column) -> gain of the pairs that gain something, and by row."""
+
+    def of(self, i: int) -> list[tuple[int, float]]:
+        if not hasattr(self, "rows"):
+            self.rows: dict[int, list[tuple[int, float]]] = {}
+            for (p, q), x in self.items():
+                self.rows.setdefault(p, []).append((q, x))
+        return self.rows.get(i, [])
+
+
+def _candidates(block: _Block, units: list[dict], i: np.ndarray, j: np.ndarray, parts: np.ndarray, first_a: int, first_b: int, n: int, m: int):
+    """The single pairs that gain something, and the merged spans that beat them, of one bitext.
+
+    Dense only in strips of at most DENSE cells, so that a bitext of any length fits.
+    """
+    edges, many = _Edges(), []
+    planned_a = [set(map(str, x["planned"])) if x["planned"] is not None else set() for x in units[first_a:first_a + n]]
+    planned_b = [set(map(str, x["planned"])) if x["planned"] is not None else set() for x in units[first_b:first_b + m]]
+    any_plan = any(planned_a) or any(planned_b)
+    number = [str(x["unit_number"]) for x in units[first_a:first_a + n]], [str(x["unit_number"]) for x in units[first_b:first_b + m]]
+    for turned in (False, True):
+        p, q, k, l = (j, i, m, n) if turned else (i, j, n, m)
+        v = parts[:, [2, 3, 0, 1]] if turned else parts
+        strip = max(1, DENSE // max(1, l))
+        for at in range(0, k, strip):
+            here = (p >= at) & (p < at + strip) if strip < k else slice(None)
+            height = min(strip, k - at)
+            d = np.zeros((height, l, 4))
+            d[p[here] - at, q[here]] = v[here]
+            score = np.divide(d[:, :, 0::2], d[:, :, 1::2], out=np.zeros((height, l, 2)), where=d[:, :, 1::2] > 0).mean(2)
+            bonus = np.zeros((height, l))
+            if any_plan:
+                for x, y in zip(p[here].tolist(), q[here].tolist()):
+                    ra, rb = (y, x) if turned else (x, y)
+                    if number[0][ra] in planned_b[rb] or number[1][rb] in planned_a[ra]:
+                        bonus[x - at, y] = PLAN_BONUS
+            gain = score + bonus - NULL_SCORE
+            if not turned:
+                for x, y in zip(*(z.tolist() for z in np.nonzero(gain > 0))):
+                    edges[x + at, y] = float(gain[x, y])
+                many += [(g, (x + at,), tuple(range(y, z + 1))) for g, x, y, z in _merges(
+                    d, gain, lambda x, y, size: block.span_scores(first_a + at + x, first_b + y, size), bonus)]
+            else:
+                many += [(g, tuple(range(y, z + 1)), (x + at,)) for g, x, y, z in _merges(
+                    d, gain, lambda x, y, size: block.span_scores(first_b + at + x, first_a + y, size), bonus)]
+    yield edges, many
+
+
 def _solve(units: pd.DataFrame, sc: _Scorer) -> pd.DataFrame:
-    side = {s: x.sort_values(["unit_order", "unit_id", "no"]).to_dict("records") for s, x in units.groupby("side")}
-    a, b = side.get("a", []), side.get("b", [])
-    if not a or not b:
+    """Pairs of one bitext and pair of witnesses by a scorer's lexicon."""
+    u = units.sort_values(["side", "unit_order", "unit_id", "no"]).to_dict("records")
+    number: dict[str, int] = {}
+    feats = [np.unique(np.array([number.setdefault(f, len(number)) for f in x["feats"]], np.int64)) for x in u]
+    e = [(number.setdefault(a, len(number)), number.setdefault(b, len(number)), w) for a, bs in sc.pairs.items() for b, w in bs]
+    has = {number[a] for a in sc.pairs if a in number}
+    n = len(number)
+    idf = tuple(np.array([x.get(f, np.nan) for f in number], float) for x in sc.idf)
+    entries = (np.array([x[0] for x in e], np.int64), np.array([x[1] for x in e], np.int64), np.array([x[2] for x in e], float), np.array([k in has for k in range(n)], bool))
+    left = np.array([x["side"] == "a" for x in u], bool)
+    if not left.any() or left.all():
         return pd.DataFrame({"unit_a": [], "unit_b": []}, dtype=str)
-    fa, fb = [set(x["feats"]) for x in a], [set(x["feats"]) for x in b]
-    parts = np.array([[sc.parts(x, y) for y in fb] for x in fa])
-    m = np.divide(parts[:, :, 0::2], parts[:, :, 1::2], out=np.zeros_like(parts[:, :, 0::2]), where=parts[:, :, 1::2] > 0).mean(2)
-    planned = {(str(n), u) for x in b for n in (x["planned"] if x["planned"] is not None else []) for u in [x["unit_id"]]}
-    planned |= {(str(n), x["unit_id"]) for x in a for n in (x["planned"] if x["planned"] is not None else [])}
-    bonus = np.zeros_like(m)
-    if planned:
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                if (str(x["unit_number"]), y["unit_id"]) in planned or (str(y["unit_number"]), x["unit_id"]) in planned:
-                    bonus[i, j] = PLAN_BONUS
-    gain = m + bonus - NULL_SCORE
-    many = [(g, (i,), tuple(range(j, k + 1))) for g, i, j, k in _merges(parts, gain, lambda i, j, k: sc.score(fa[i], set().union(*fb[j:k + 1])), bonus)]
-    turned = parts.transpose(1, 0, 2)
-    many += [(g, tuple(range(i, k + 1)), (j,)) for g, j, i, k in _merges(turned, gain.T, lambda j, i, k: sc.score(set().union(*fa[i:k + 1]), fb[j]), bonus.T)]
-    out = {(a[i]["unit_id"], b[j]["unit_id"]) for rows, cols in assign_spans(gain, many) for i in rows for j in cols}
-    rows = sorted((min(x), max(x)) for x in out)
-    return pd.DataFrame(rows, columns=["unit_a", "unit_b"]).astype(str)
+    block = _Block(feats, np.zeros(len(u), np.int64), left, n, idf, entries, sc.copies, sc.unseen)
+    return pd.DataFrame(_solve_block(u, block), columns=["unit_a", "unit_b"]).astype(str)
+
+
+def _solver(copies: set[str], unseen: dict[str, float]):
+    """Solves all bitexts of a block: sentences and the part of the lexicon for them, as Arrow tables."""
+    def flat(c: pa.ChunkedArray) -> pa.ListArray:
+        x = c.combine_chunks()
+        return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+
+    def run(key: tuple, group: pa.Table, part: pa.Table) -> pa.Table:
+        lp = key[0].as_py()
+        group = group.sort_by([(c, "ascending") for c in ("bitext_id", "pair", "side", "unit_order", "unit_id", "no")])
+        lists = flat(group.column("feats"))
+        of = np.array(part.column("of").to_pylist(), object)
+        bs = flat(part.column("bs"))
+        words = [lists.flatten(), flat(part.column("f")), bs.flatten().field("b")]
+        codes = pa.concat_arrays(words).dictionary_encode()
+        n, codes = max(1, len(codes.dictionary)), codes.indices.to_numpy().astype(np.int64)
+        f0, f1 = len(words[0]), len(words[0]) + len(words[1])
+        off = lists.offsets.to_numpy().astype(np.int64)
+        off = off - off[0]
+        feats = np.split(codes[:f0], off[1:-1]) if len(group) else []
+        weight = part.column("w").to_numpy(zero_copy_only=False).astype(float)
+        pf = codes[f0:f1]
+        idf = []
+        for s in "ab":
+            x = np.full(n, np.nan)
+            x[pf[of == s]] = weight[of == s]
+            idf.append(x)
+        size = np.diff(bs.offsets.to_numpy().astype(np.int64))
+        size[np.array(bs.is_null().to_pylist(), bool)] = 0
+        has = np.zeros(n, bool)
+        has[pf[of == None]] = True  # noqa: E711
+        left = np.array(group.column("side").to_pylist(), object) == "a"
+        ea, eb, ew = np.repeat(pf, size), codes[f1:], bs.flatten().field("w").to_numpy()
+        have = np.zeros(n, bool)
+        have[codes[:f0][~np.repeat(left, np.diff(off))]] = True
+        # A feature whose entries are all missing here keeps its mark: it stays unmatched.
+        ok = have[eb]
+        both = np.array([x + 0 for x in group.column("bitext_id").to_pylist()], object), np.array(group.column("pair").to_pylist(), object)
+        new = np.concatenate(([0], (both[0][1:] != both[0][:-1]) | (both[1][1:] != both[1][:-1]))).astype(np.int64) if len(group) else np.zeros(0, np.int64)
+        block = _Block(feats, np.cumsum(new), left, n, tuple(idf), (ea[ok], eb[ok], ew[ok], has), lp in copies, unseen.get(lp, 4.0))
+        got = _solve_block(group.select(["unit_id", "unit_number", "planned"]).to_pylist(), block)
+        return pa.table({"unit_a": pa.array([x for x, _ in got], pa.string()), "unit_b": pa.array([y for _, y in got], pa.string())})
+
+    return run
 
 
 def align(units: DataFrame, plans: DataFrame) -> DataFrame:
@@ -380,19 +650,5 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
     f = s.select("lp", "block", "side", F.explode("feats").alias("f")).distinct()
     known = f.join(small(lex.known), ["lp", "side", "f"]).select("lp", "block", "side", "f", "w", F.lit(None).cast(lex.entries.schema["bs"].dataType).alias("bs"))
     entry = f.where("side = 'a'").join(small(lex.entries.withColumnRenamed("a", "f")), ["lp", "f"]).select("lp", "block", F.lit(None).cast("string").alias("side"), "f", F.lit(None).cast("double").alias("w"), "bs")
-    copies, unseen = lex.copies, lex.unseen
-
-    def solve(key: tuple, group: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        have = set()
-        for x in group.loc[group["side"] == "b", "feats"]:
-            have.update(x)
-        k = part[part["of"].notna()]
-        idf = [dict(zip(x["f"], x["w"])) for x in (k[k["of"] == "a"], k[k["of"] == "b"])]
-        e = part[part["of"].isna()]
-        # A feature whose entries are all missing here keeps its empty list: it stays unmatched.
-        sc = _Scorer(idf, {a: [(r["b"], r["w"]) for r in bs if r["b"] in have] for a, bs in zip(e["f"], e["bs"])}, key[0] in copies, unseen.get(key[0], 4.0))
-        got = [_solve(x, sc) for _, x in group.groupby(["bitext_id", "pair"])]
-        return pd.concat(got) if got else pd.DataFrame({"unit_a": [], "unit_b": []}, dtype=str)
-
     part = known.unionByName(entry).toDF("for_lp", "for_block", "of", "f", "w", "bs")
-    return s.groupBy("lp", "block").cogroup(part.groupBy("for_lp", "for_block")).applyInPandas(solve, "unit_a string, unit_b string").distinct()
+    return s.groupBy("lp", "block").cogroup(part.groupBy("for_lp", "for_block")).applyInArrow(_solver(lex.copies, lex.unseen), "unit_a string, unit_b string").distinct()
