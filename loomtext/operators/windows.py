@@ -52,3 +52,17 @@ def running_before(
     own = agg(F.col(value)).over(w)
     both = F.when(own.isNull(), F.col("_carry")).when(F.col("_carry").isNull(), own).otherwise(combine(own, F.col("_carry")))
     return df.withColumn(out, both).drop("_carry")
+
+
+def latest(df: DataFrame, key: str, at: str, among: list[str]) -> DataFrame:
+    """``among`` of the latest row of each ``key`` by ``at``; of equal times the row that is largest as JSON.
+
+    Null times are the earliest, a missing column ``at`` counts as null.  Null keys are
+    one key.  Rows that cannot be the first are dropped before the shuffle, so a
+    key repeated in a third of all rows costs one row per partition.
+    """
+    when = F.col(at) if at in df.columns else F.lit(None).cast("timestamp")
+    w = Window.partitionBy(key).orderBy(F.col("_at").desc_nulls_last(), F.col("_json").desc())
+    cols = [c for c in among if c != key]
+    d = df.select(key, *cols, when.alias("_at"), F.to_json(F.struct(*cols)).alias("_json"))
+    return d.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(key, *cols)
