@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from loomtext.llm.lookalike import canonical
 from loomtext.llm.sentences import sentences
+from loomtext.operators.windows import latest
 from loomtext.session import cut, small, table
 
 #: Log-likelihood and association a lexicon entry needs (chi-square at 0.1 %), and occurrences of its parts.
@@ -612,12 +613,12 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
     ``units``: unit_id, bitext_id, unit_number, unit_order, unit_status, targets,
     target_token_ids; ``plans``: bitext_id, source_id, passages.  The language of
     a target is the first three letters of its witness id.  Repeated unit ids
-    count once.  Null bitexts, empty or null targets pair with nothing, a bitext
+    count once (the latest delivery).  Null bitexts, empty or null targets pair with nothing, a bitext
     with one witness has no pairs, of three or more every two are solved on their own; units with several witnesses teach the
     lexicon.  Without reviewed units only equal words and numbers count.  A
     bitext (one passage in two witnesses) is solved in one task.
     """
-    u = units.where("unit_id is not null and bitext_id is not null").dropDuplicates(["unit_id"])
+    u = latest(units.where("unit_id is not null and bitext_id is not null"), "unit_id", "received_at", ["bitext_id", "unit_number", "unit_order", "unit_status", "targets"])
     t = u.select("unit_id", "bitext_id", "unit_number", "unit_order", "unit_status", F.explode("targets").alias("wit", "text")).where("length(text) > 0")
     t = t.withColumn("lang", F.substring("wit", 1, 3))
 
@@ -645,7 +646,7 @@ def align(units: DataFrame, plans: DataFrame) -> DataFrame:
     s = s.select("bitext_id", "unit_id", "unit_number", "unit_order", "lp", "pair", "side", "no", features_udf("s", "lang").alias("feats"))
     s = s.join(planned, ["bitext_id", "unit_id"], "left")
     # Bitexts of a language pair in blocks of about BLOCK: each block gets the entries and weights of its features once.
-    many = s.groupBy("lp").agg(F.ceil(F.count_distinct("bitext_id") / BLOCK).alias("blocks"))  # one row per language pair
+    many = free.groupBy("lp").agg(F.ceil(F.count_distinct("bitext_id") / BLOCK).alias("blocks"))  # one row per language pair
     s = table(s.join(F.broadcast(many), "lp").withColumn("block", F.pmod(F.xxhash64("bitext_id"), "blocks")).drop("blocks"), "sentences")
     f = s.select("lp", "block", "side", F.explode("feats").alias("f")).distinct()
     known = f.join(small(lex.known), ["lp", "side", "f"]).select("lp", "block", "side", "f", "w", F.lit(None).cast(lex.entries.schema["bs"].dataType).alias("bs"))

@@ -70,7 +70,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    units = read(spark, d, "alignments", "unit_id", "bitext_id", "unit_number", "unit_order", "unit_status", "targets")
+    units = read(spark, d, "alignments", "unit_id", "bitext_id", "unit_number", "unit_order", "unit_status", "targets", "received_at")
     return align(units, read(spark, d, "semantic_plans", "bitext_id", "source_id", "passages"))
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.operators.windows import latest
 from loomtext.session import small, table
 
 # Glyphs a scanner confuses, each drawn as its simplest parts.
@@ -75,14 +76,9 @@ def _pieces(c: str | Column) -> Column:
 
 
 def _latest(readings: DataFrame, raw_layer: str) -> DataFrame:
-    """One row per reading id with a text: the latest delivery, of equal times the largest text."""
-    at = F.col("received_at") if "received_at" in readings.columns else F.lit(None).cast("timestamp")
-    r = readings.select(
-        "reading_id", _lang("document_id").alias("lang"), F.col("pdf_page").alias("page"), "text",
-        (F.coalesce("reading_layer", F.lit("")) == raw_layer).alias("raw"), at.alias("at"))
-    w = Window.partitionBy("reading_id").orderBy(F.col("at").desc_nulls_last(), F.col("text").desc(), F.col("lang"), F.col("page"), F.col("raw"))
-    r = r.where("reading_id is not null and length(text) > 0").withColumn("k", F.row_number().over(w))
-    return r.where("k = 1").drop("k", "at")
+    """One row per reading id with a text: the latest delivery, see ``latest``."""
+    r = latest(readings.where("reading_id is not null and length(text) > 0"), "reading_id", "received_at", ["document_id", "pdf_page", "text", "reading_layer"])
+    return r.select("reading_id", _lang("document_id").alias("lang"), F.col("pdf_page").alias("page"), "text", (F.coalesce("reading_layer", F.lit("")) == raw_layer).alias("raw"))
 
 
 def _lines(r: DataFrame) -> DataFrame:
@@ -233,8 +229,7 @@ def _misread(lines: DataFrame, body: DataFrame, hyphen: DataFrame, counts: DataF
     # How often the word and each form stand beside these words, over all texts.
     asked = F.array(*[F.struct(a.alias("a"), b.alias("b")) for c in ("word", "form") for a, b in ((F.col("prev"), F.col(c)), (F.col(c), F.col("follow")))])
     asked = table(occ.where("form is not null").select("lang", F.inline(asked)).where("a is not null and b is not null").distinct(), "asked")
-    n = F.greatest(F.size("words") - 1, F.lit(0))
-    beside = lines.select("lang", F.inline(F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))))
+    beside = lines.select("lang", "words", F.posexplode("words").alias("k", "b")).where("k > 0").select("lang", F.get("words", F.col("k") - 1).alias("a"), "b")
     beside = table(beside.join(small(asked), ["lang", "a", "b"], "left_semi").groupBy("lang", "a", "b").agg(F.count(F.lit(1)).alias("c")), "beside")
     for what, a, b in (("wp", "prev", "word"), ("wf", "word", "follow"), ("fp", "prev", "form"), ("ff", "form", "follow")):
         occ = occ.join(_seen(beside, a, b, what), ["lang", a, b], "left")
