@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts.
 
 The default sentence-break rules by character property (terminators of all
-scripts, closing marks, separators), with suppression after abbreviations,
-initials, numbers and omission dots, and with quotations kept together with
-their introduction or reporting clause.
+scripts, closing marks, separators, from the public property tables), with
+suppression after the abbreviations of the text's own language, after initials,
+numbers and omission dots, and with quotations kept together with their
+introduction or reporting clause.
 """
 
 from __future__ import annotations
@@ -19,43 +20,121 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.lookalike import LOOKALIKES, _ignorable
 
-# Abbreviations that never end a sentence.
-ABBREVIATIONS = {
-    "en": "prof dr mr mrs ms mss st rev vs cf ed eds transl approx esp viz e.g i.e resp incl sc".split(),
-    "de": "prof dr vgl bzw bearb hrsg ca sog evtl ggf z.b d.h u.a s.o s.u o.ä i.d.r hl inkl zzgl lat gr dt jh übers".split(),
-    "hi": "डॉ प्रो पृ पं सं श्री क्र अनु ई".split(),
-    "bo": [],
-    "zh": [],
+# Fixed values, by language: its commonest words; abbreviations that never end a sentence; abbreviations that
+# stand before a number (elsewhere the word ends a sentence as any other); abbreviations after which a sentence
+# may end if a new one plainly begins; words before an ordinal; lower-case words that carry a sentence on.
+LANGUAGES = {
+    "en": {
+        "common": "the of and to in is that it for as with was on are by this be from not which or at but his have an they one who",
+        "never": "prof dr mr mrs ms mss st rev vs cf ed eds transl approx esp viz e.g i.e resp incl sc jr sr hon gen col capt lt gov dept univ assn",
+        "number": "no nos p pp v vv l ll fol fols vol vols fig figs ch chap sec art ms mss t sp",
+        "may_end": "etc f ff al ibid",
+        "goes_on": "he she it they we i you is are was were be has have had do does did and or but nor yet so in on of to by at as with from for that "
+        "which who whom says said asks asked replies replied answers answered writes wrote thinks holds adds added cries cried stands reads means "
+        "also can could will would may might not the a an",
+    },
+    "de": {
+        "common": "der die das und ist nicht von zu den mit sich des auf für im dem ein eine als auch es an werden aus er hat dass sie nach wird bei oder",
+        "never": "prof dr vgl bzw bearb hrsg ca sog evtl ggf z.b d.h u.a s.o s.u o.ä i.d.r hl inkl zzgl lat gr dt jh übers geb gest allg bes",
+        "number": "nr bd s z kap abs anm sp bl abb taf aufl ms mss t v vv l p",
+        "may_end": "usw usf f ff u.a dgl ebd",
+        "ordinal": "am an im vom zum zur der die das dem den des jeder jede",
+        "goes_on": "er sie es ist sind war waren hat haben und oder aber doch denn in im an am auf zu zum von vom mit bei steht heißt sagt sagte fragt fragte "
+        "antwortet schreibt ruft meint denkt fügt also usf",
+    },
+    "fr": {
+        "common": "le la les de des du et est un une en que qui dans pour pas sur au aux avec ce cette il elle sont par ne se plus",
+        "never": "m mm mme mlle dr pr st ste cf éd env p.ex c.-à-d av apr",
+        "number": "n no p pp vol t chap art fig fol ms ch",
+        "may_end": "etc ibid",
+        "goes_on": "il elle ils elles et ou mais est sont dit répond demande écrit ajoute",
+    },
+    "es": {
+        "common": "el la los las de del y es un una en que por para con no se su al lo como más pero sus le ha o",
+        "never": "sr sra srta dr dra d ud uds vd vds p.ej ed eds aprox",
+        "number": "núm pág págs vol cap art fig fol t",
+        "may_end": "etc ibíd",
+        "goes_on": "él ella ellos y o pero es son dice dijo pregunta responde escribe",
+    },
+    "it": {
+        "common": "il lo la i gli le di del della e è un una in che per non con si da al sono come più ma anche nel",
+        "never": "sig sigg dott prof cfr ed ca p.es",
+        "number": "n p pp pag vol cap art fig f t",
+        "may_end": "ecc ibid",
+        "goes_on": "egli lui lei e o ma è sono dice disse chiede risponde scrive",
+    },
+    "ru": {
+        "common": "и в не на что я он с как это по но из у за от так же для то все она",
+        "never": "проф др т.е т.к т.н им гр св ред см ср",
+        "number": "с стр т гл рис ст п №",
+        "may_end": "др пр т.д т.п",
+        "goes_on": "он она они и или но сказал сказала говорит спросил ответил пишет",
+    },
+    "hi": {
+        "common": "के का की है में से को और यह पर ने हैं भी कि नहीं एक इस था थे तो",
+        "never": "डॉ प्रो पृ पं सं श्री क्र अनु ई",
+    },
+    "bo": {"common": "dang las kyi gi ni la yin du na ba pa"},
+    "zh": {},
 }
-# Abbreviations that stand before a number (elsewhere the word ends a sentence as any other).
-BEFORE_NUMBER = "no nos nr p pp v vv l ll fol fols vol vols fig figs ch chap sec art bd s z kap abs anm sp bl abb taf aufl ms mss t".split()
-# Abbreviations after which a sentence may end if a new one plainly begins.
-MAY_END = "etc usw usf f ff al u.a dgl ebd ibid".split()
-# Words before a German ordinal.
-ORDINAL_LEAD = "am an im vom zum zur der die das dem den des jeder jede".split()
-# Lower-case words that carry a sentence on after a mark.
-GOES_ON = (
-    "he she it they we i you is are was were be has have had do does did and or but nor yet so in on of to by at as with from for that which who whom "
-    "says said asks asked replies replied answers answered writes wrote thinks holds adds added cries cried stands reads means "
-    "er sie es ist sind war waren hat haben und oder aber doch denn in im an am auf zu zum von vom mit bei steht heißt sagt sagte fragt fragte "
-    "antwortet schreibt ruft meint denkt fügt also can could will would may might not the a an usf"
-).split()
-CLOSING = set("”’\"'»)]}」』》〉】〗）］｝｣›")
+#: Quotation marks and what closes them.
 PAIRS = {"“": "”", "‘": "’", "«": "»", "「": "」", "『": "』", "„": "“”", "‚": "‘’"}
+_LETTERS = re.compile(r"(?:[^\W\d_]|[ऀ-ःऺ-ॏ])+")
 _WORD_BEFORE = re.compile(r"(?:[^\W\d_]|[्ऀ-ःऺ-ॏ]|\.(?=[^\W\d_]))+$")
 
 
+def _plain(word: str) -> str:
+    """A listed word in the plain characters that texts are compared in."""
+    return "".join(_shadow[ord(c)] for c in word)
+
+
+@lru_cache(64)
+def _rules(langs: tuple[str, ...]) -> dict[str, frozenset[str]]:
+    """The word lists of these languages, joined."""
+    return {k: frozenset(_plain(w) for g in langs for w in LANGUAGES[g].get(k, "").split()) for k in ("never", "number", "may_end", "ordinal", "goes_on")}
+
+
+@lru_cache(1)
+def _common() -> dict[str, tuple[str, ...]]:
+    out: dict[str, tuple[str, ...]] = {}
+    for g, x in LANGUAGES.items():
+        for w in map(_plain, x.get("common", "").split()):
+            out[w] = (*out.get(w, ()), g)
+    return out
+
+
+def languages(text: str) -> tuple[str, ...]:
+    """Languages of a text by its commonest words: the leading one, and any that comes near it.
+
+    A text without such words may be in any of them.
+    """
+    n: dict[str, int] = {}
+    common = _common()
+    for w in _LETTERS.findall(text.lower()):
+        for g in common.get(w, ()):
+            n[g] = n.get(g, 0) + 1
+    most = max(n.values(), default=0)
+    return tuple(g for g in LANGUAGES if 2 * n.get(g, 0) >= most) if most else tuple(LANGUAGES)
+
+
+def _with(prop: str) -> set[str]:
+    """All characters of a sentence-break class or property, from the public property tables."""
+    import regex
+
+    find = regex.compile(rf"\p{{{prop}}}")
+    return {c for c in map(chr, range(sys.maxunicode + 1)) if find.match(c)}
+
+
+@lru_cache(1)
+def closing() -> frozenset[str]:
+    """Closing punctuation: what the sentence-break rules let stand behind a terminator and opens nothing."""
+    return frozenset(c for c in _with("Sentence_Break=Close") if unicodedata.category(c) in ("Pe", "Pf") or c in "'\"")
+
+
 @lru_cache(1)
 def terminators() -> str:
-    """Characters with the sentence-terminal property, by name rule plus the ASCII ones."""
-    out = {"!", "?", "‼", "‽", "⁇", "⁈", "⁉", "．", "｡", "。", "।", "॥", "۔", "؟", "။", "።", "។", "᠃", "᭞", "꩝"}
-    for c in range(0x80, sys.maxunicode + 1):
-        ch = chr(c)
-        if unicodedata.category(ch) == "Po":
-            name = unicodedata.name(ch, "")
-            if re.search(r"\b(FULL STOP|DANDA|QUESTION MARK|EXCLAMATION MARK)\b", name) and "INVERTED" not in name and "MEDIUM" not in name:
-                out.add(ch)
-    return "".join(sorted(out - {"…"}))
+    """Characters with the sentence-terminal property."""
+    return "".join(sorted(_with("Sentence_Terminal") | {"｡"}))
 
 
 class _Shadow(dict):
@@ -111,7 +190,7 @@ def _quotes(s: str) -> list[tuple[int, int]]:
     return out
 
 
-def _goes_on(rest: str) -> bool:
+def _goes_on(rest: str, rules: dict) -> bool:
     """Does what follows a closing mark carry the sentence on?"""
     r = rest.lstrip()
     if not r:
@@ -122,11 +201,11 @@ def _goes_on(rest: str) -> bool:
         return rest[:1] == r[0]
     m = re.match(r"[^\W\d_]+", r)
     if m and m[0][0].islower():
-        return m[0] in GOES_ON
+        return m[0] in rules["goes_on"]
     return bool(re.match(r"(?:ऐसा|यह|इति|कहकर)\s", r)) and "कह" in r[:30]
 
 
-def _paragraph(s: str) -> list[tuple[int, int]]:
+def _paragraph(s: str, rules: dict) -> list[tuple[int, int]]:
     """Sentences of one paragraph (shadow text without ignorables)."""
     cjk = len(re.findall("[㐀-鿿豈-﫿]", s))
     if cjk and cjk * 2 >= sum(c.isalpha() for c in s) and not re.search("[。!?｡]", s):
@@ -137,7 +216,7 @@ def _paragraph(s: str) -> list[tuple[int, int]]:
     for a, b in quotes:
         lead = s[:a].rstrip()
         intro = lead[-1:] in (":", "：") or lead[-1:] in (",", "，")
-        follow = _goes_on(s[b + 1 :])
+        follow = _goes_on(s[b + 1 :], rules)
         after_close[b] = follow
         if intro or follow:
             guarded.append((a, b))
@@ -160,7 +239,7 @@ def _paragraph(s: str) -> list[tuple[int, int]]:
             continue
         # closing quotes and brackets behind the mark
         e = j
-        while e < len(s) and (s[e] in CLOSING or (s[e] == "“" and any(b == e for _, b in quotes))):
+        while e < len(s) and (s[e] in closing() or (s[e] == "“" and any(b == e for _, b in quotes))):
             if s[e] in "'\"’" and e + 1 < len(s) and s[e + 1].isalpha() and not any(b == e for _, b in quotes):
                 break
             e += 1
@@ -172,13 +251,13 @@ def _paragraph(s: str) -> list[tuple[int, int]]:
         closed = [b for _, b in quotes if j <= b < e]
         if closed and any(after_close[b] for b in closed):
             continue
-        if mark == "." and not _full_stop(s, start, i, e):
+        if mark == "." and not _full_stop(s, start, i, e, rules):
             continue
         if inner and not closed and s[inner[-1][1] + 1 : inner[-1][1] + 2] in {".", "।", "。", ",", ";"}:
             continue
         rest = s[e:]
         if mark[0] in "!?" or closed:
-            if _goes_on(rest):
+            if _goes_on(rest, rules):
                 continue
         if mark == "//" and i and s[i - 1] == ":":
             continue
@@ -205,7 +284,7 @@ def _paragraph(s: str) -> list[tuple[int, int]]:
     return merged
 
 
-def _full_stop(s: str, start: int, i: int, e: int) -> bool:
+def _full_stop(s: str, start: int, i: int, e: int, rules: dict) -> bool:
     """Does the single full stop at ``i`` (closing marks up to ``e``) end a sentence?"""
     before, after = s[start:i], s[i + 1 :]
     nxt = s[e : e + 1]
@@ -227,13 +306,13 @@ def _full_stop(s: str, start: int, i: int, e: int) -> bool:
     if word:
         spaced = re.search(r"\b([^\W\d_])\.\s$", tight)  # z. B., d. h.
         pair = (spaced[1].lower() + "." + low) if spaced else ""
-        if low in MAY_END or pair in MAY_END:
+        if low in rules["may_end"] or pair in rules["may_end"]:
             if not tail:
                 return True
-            return new or first.isdigit() or (first.islower() and re.match(r"\w+", tail)[0] not in GOES_ON and e > i) if e == i + 1 else new
-        if any(low in a or pair in a for a in ABBREVIATIONS.values()):
+            return new or first.isdigit() or (first.islower() and re.match(r"\w+", tail)[0] not in rules["goes_on"] and e > i) if e == i + 1 else new
+        if low in rules["never"] or pair in rules["never"]:
             return not tail
-        if low in BEFORE_NUMBER and (not tail or re.match(r"[\d०-९_“\"(]|[ivxlcm]+\b|[A-Z]\.?\d", tail)):
+        if low in rules["number"] and (not tail or re.match(r"[\d०-९_“\"(]|[ivxlcm]+\b|[A-Z]\.?\d", tail)):
             return not tail
         letters = [c for c in word if not unicodedata.combining(c) and unicodedata.category(c) != "Mc"]
         if "." in word and all(len(x) == 1 for x in word.split(".")):
@@ -246,7 +325,7 @@ def _full_stop(s: str, start: int, i: int, e: int) -> bool:
             return False
     elif before[-1:].isdigit():
         lead = re.search(r"([^\W\d_]+)\s+\d{1,2}$", before)
-        if lead and lead[1].lower() in ORDINAL_LEAD and tail and lead[1] not in ("in",):
+        if lead and lead[1].lower() in rules["ordinal"] and tail and lead[1] not in ("in",):
             return False
         if nxt and not nxt.isspace() and nxt.isalnum():
             return nxt.isupper()
@@ -272,11 +351,12 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             shadow.append(c)
             at.append(i)
     s = "".join(shadow)
+    rules = _rules(languages(s))
     out = []
     p = 0
     for m in [*_PARAGRAPH.finditer(s), None]:
         q = m.start() if m else len(s)
-        for a, b in _paragraph(s[p:q]):
+        for a, b in _paragraph(s[p:q], rules):
             x = s[p + a : p + b]
             a += len(x) - len(x.lstrip())
             b -= len(x) - len(x.rstrip())

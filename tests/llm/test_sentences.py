@@ -36,3 +36,25 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "kind string, id string, text string, start_pos int")
     assert sorted(map(str, map(tuple, sentence_spans(df, "kind", "id", "text").collect()))) == sorted(map(str, [("r", "1", 0, 4), ("r", "1", 5, 9), (None, None, 0, 6)]))
     assert sentence_spans(df.limit(0), "kind", "id", "text").collect() == []
+
+
+def test_every_terminator_of_the_property():
+    import regex
+
+    marks = [c for c in map(chr, range(0x110000)) if regex.match(r"\p{Sentence_Terminal}", c)]
+    assert len(marks) >= 172
+    wrong = [hex(ord(c)) for c in marks if len(sentences(f"Here it ends{c} There it goes on{c}")) != 2]
+    assert wrong == []
+    assert [len(sentences(f"Here it ends{c}{q} There it goes on.")) for c in "!?۔።" for q in "”»)」﴾"] == [2] * 20
+
+
+def test_abbreviations_of_the_own_language():
+    from loomtext.llm.sentences import languages
+
+    cut = lambda t: [t[a:b] for a, b in sentences(t)]
+    assert languages("the king and the queen") == ("en",) and languages("der König und die Königin ist nicht") == ("de",)
+    # "ca." and "bes." suppress a break in German, in English the words end a sentence.
+    assert len(cut("Es ist nicht auf ca. Hundert und bes. Viele zu zählen.")) == 1
+    assert len(cut("This is the name of the bes. Many of them are in the house.")) == 2
+    assert len(cut("Il est dans la maison de Mme. Durand et pas sur le toit.")) == 1
+    assert len(cut("Это не проф. Иванов, и он на месте. Он ушёл.")) == 2
