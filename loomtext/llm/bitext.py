@@ -33,7 +33,7 @@ NULL_SCORE, PLAN_BONUS, MERGE_GAIN = 0.54, 0.1, 0.08
 #: Neighbours of one side that may render one sentence of the other together.
 LONGEST_SPAN = 3
 #: Entries looked up and pairs scored at once.
-EXPANDED, DENSE = 2_000_000, 1_000_000
+EXPANDED, DENSE = 300_000, 1_000_000
 #: Share of rare words found on both sides from which two languages count as copying them.
 COPY_SHARE = 0.4
 
@@ -369,29 +369,38 @@ class _Block:
         return rows, self.b_of[np.repeat(lo - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(len(rows))] if len(rows) else np.zeros(0, np.int64)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sentence a, sentence b, parts) of all pairs with something in common; parts as of ``_Scorer.parts``."""
-        r, j = self._beside(self.a_of, self.a)
-        same = (self.a_of[r], j, self.a[r])
+        """(sentence a, sentence b, parts) of all pairs with something in common; parts as of ``_Scorer.parts``.
+
+        Keeps, for merged spans, the links that are the best of their feature on either side of a pair; those
+        of a span are among them.  As many sentences are looked up at once as EXPANDED entries allow.
+        """
         lo = np.searchsorted(self.ea, self.a, "left")
         k = np.searchsorted(self.ea, self.a, "right") - lo
-        got = [(*same, same[2], np.ones(len(j)), np.ones(len(j), bool))]
-        ends = np.cumsum(k)
-        at = 0
-        while at < len(k):  # entries of as many sentences at once as EXPANDED allows
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPANDED, "right")))
-            kk = k[at:to]
-            occ = np.repeat(np.arange(at, to), kk)
-            e = np.repeat(lo[at:to] - np.concatenate(([0], np.cumsum(kk)[:-1])), kk) + np.arange(len(occ))
-            r, j = self._beside(self.a_of[occ], self.eb[e])
-            got.append((self.a_of[occ[r]], j, self.a[occ[r]], self.eb[e[r]], self.ew[e[r]], np.zeros(len(j), bool)))
-            at = to
-        sa, sb, a, b, w, ident = (np.concatenate(x) for x in zip(*got))
-        self.pair, at = np.unique(sa * self.many + sb, return_inverse=True)
-        # A feature that stands on both sides is its own counterpart; its entries do not count then.
-        self.links = self._own_first(at, a, b, w, ident)
+        starts = np.flatnonzero(np.diff(self.a_of, prepend=-1)) if len(self.a_of) else np.zeros(0, np.int64)
+        ends = np.cumsum(k + 1)
+        before = np.concatenate(([0], ends))[starts]
+        got, links, n, at = [], [], 0, 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(before, before[at] + EXPANDED, "right")) - 1) if at + 1 < len(starts) else at + 1
+            x, y = int(starts[at]), int(starts[to]) if to < len(starts) else len(self.a)
+            occ = np.repeat(np.arange(x, y), k[x:y])
+            e = np.repeat(lo[x:y] - np.concatenate(([0], np.cumsum(k[x:y])[:-1])), k[x:y]) + np.arange(len(occ))
+            r, j = self._beside(self.a_of[x:y], self.a[x:y])
+            q, j2 = self._beside(self.a_of[occ], self.eb[e])
+            same = self.a[x:y][r]
+            sa, sb = np.concatenate((self.a_of[x:y][r], self.a_of[occ[q]])), np.concatenate((j, j2))
+            pair, where = np.unique(sa * self.many + sb, return_inverse=True)
+            # A feature that stands on both sides is its own counterpart; its entries do not count then.
+            v = self._own_first(where, np.concatenate((same, self.a[occ[q]])), np.concatenate((same, self.eb[e[q]])),
+                                np.concatenate((np.ones(len(j)), self.ew[e[q]])), np.arange(len(sa)) < len(j))
+            parts, best = self._parts(*v, self.base[pair // self.many], self.base[pair % self.many])
+            got.append((pair, parts))
+            links.append((v[0][best] + n, *(z[best] for z in v[1:])))
+            n, at = n + len(pair), to
+        self.pair = np.concatenate([p for p, _ in got]) if got else np.zeros(0, np.int64)
+        self.links = tuple(np.concatenate(z) for z in zip(*links)) if links else (np.zeros(0, np.int64),) * 5
         self.ends = np.searchsorted(self.links[0], np.arange(len(self.pair) + 1))
-        ia, ib = self.pair // self.many, self.pair % self.many
-        return ia, ib, self._parts(*self.links, self.base[ia], self.base[ib])
+        return self.pair // self.many, self.pair % self.many, np.concatenate([v for _, v in got]) if got else np.zeros((0, 4))
 
     def _own_first(self, at: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, ...]:
         """Links (of pair or span ``at``, features a and b, weight, identity) in order, without entries of features found themselves."""
@@ -400,8 +409,9 @@ class _Block:
         keep = keep[np.argsort(at[keep], kind="stable")]
         return at[keep], a[keep], b[keep], w[keep], ident[keep]
 
-    def _parts(self, at, a, b, w, ident, base_a: np.ndarray, base_b: np.ndarray) -> np.ndarray:
-        """Weight covered and whole weight of either side, for every pair or span."""
+    def _parts(self, at, a, b, w, ident, base_a: np.ndarray, base_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight covered and whole weight of either side, for every pair or span; and which links decide it."""
+        decide = np.zeros(len(at), bool)
         parts = np.zeros((len(base_a), 4))
         parts[:, 1], parts[:, 3] = base_a, base_b
         for side, f, extra in ((0, a, self.extra_a), (2, b, self.extra_b)):
@@ -410,12 +420,13 @@ class _Block:
             key, first = np.unique(key[order], return_index=True)
             p, f = key // self.n, key % self.n
             best = np.maximum.reduceat(w[order], first) if len(first) else np.zeros(0)
+            decide[order] |= w[order] == np.repeat(best, np.diff(first, append=len(order)))
             weight = self.weight[side // 2][f]
             parts[:, side] = np.bincount(p, weight * best, len(base_a))
             # Beyond the sentence's own sum: on side a what stands on both sides, on side b whatever was hit.
             add = extra[f] & np.logical_or.reduceat(ident[order], first) if side == 0 and len(first) else extra[f]
             parts[:, side + 1] += np.bincount(p, np.where(add, weight, 0), len(base_a))
-        return parts
+        return parts, decide
 
     def _whole(self, first: int, size: int) -> float:
         """Sum a merged span of sentences of one side has by itself; every feature once."""
@@ -442,7 +453,7 @@ class _Block:
         _, a, b, w, ident = (x[rows] for x in self.links)
         links = self._own_first(np.repeat(each, n), a, b, w, ident)
         mine, merged = self.base[one], np.array([self._whole(f, size) for f in first.tolist()])
-        v = self._parts(*links, *((mine, merged) if single else (merged, mine)))
+        v, _ = self._parts(*links, *((mine, merged) if single else (merged, mine)))
         return np.divide(v[:, 0::2], v[:, 1::2], out=np.zeros((k, 2)), where=v[:, 1::2] > 0).mean(1)
 
 
