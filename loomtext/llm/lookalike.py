@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loomtext.session import table
+from loomtext.session import small, table
 
 # Letters and marks of other scripts drawn like a Latin one.
 LOOKALIKES = {
@@ -22,6 +22,9 @@ LOOKALIKES = {
     # Greek
     "ν": "v", "ο": "o", "α": "a", "ι": "i", "ρ": "p", "υ": "u", "ϳ": "j", "κ": "k", "χ": "x", "γ": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    # Cherokee and Lisu
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # Latin and Armenian
     "ɑ": "a", "ɡ": "g", "ո": "n", "օ": "o", "ս": "u", "ց": "g", "հ": "h",
     # marks
@@ -118,21 +121,57 @@ def forms(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return rows.select(*keys, text_col).join(d, F.col(text_col) == F.col("_t"), "left").drop("_t")
 
 
+def look_classes(rows: DataFrame, kind: str, key: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of texts that look the same in different characters: their texts, and their rows.
+
+    The distinct texts of each kind are normalised once, whatever number of rows holds them.  Texts: ``kind``,
+    ``look``, ``t``, ``form``; rows: ``kind``, ``key``, ``t``, ``look`` of the rows that hold one of them.
+    Classes of a single text are left out.
+    """
+    r = rows.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text_col).alias("t")).where("key is not null and t is not null")
+    texts = r.select("kind", "t").distinct()
+    texts = texts.select("kind", "t", canonical_udf("t").alias("form"), look_udf("t").alias("look"))
+    # Candidates share the canonical form; the exact look decides.
+    texts = table(texts.select("*", F.xxhash64("form").alias("f"), F.xxhash64("look").alias("h")), "looks")
+    live = texts.groupBy("kind", "f", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    texts = texts.join(live.hint("merge"), ["kind", "f", "h"], "left_semi")
+    live = texts.groupBy("kind", "form", "look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "form", "look")
+    texts = table(texts.select("kind", "look", "t", "form").join(live.hint("merge"), ["kind", "form", "look"], "left_semi"), "equal-looks")
+    return texts, table(r.join(small(texts, columns=["kind", "t", "look", "form"]), ["kind", "t"]).distinct(), "equal-rows")
+
+
 def looking_equal(rows: DataFrame, kind: str, key: str, text_col: str) -> DataFrame:
     """Pairs (``kind``, key_a, key_b) whose texts look the same but are not the same.
 
-    Only within one kind.  Null texts and keys take part in no pair; a repeated
-    (kind, key, text) counts once; extra columns are dropped; empty in, empty
-    out.  Candidates share the canonical form; the exact look decides.  Groups
-    with one distinct text are left out before the join, so that exact copies,
-    however many, are never compared with each other; a skewed group is split
-    by the adaptive join because both sides are joined by key hash and look.
+    Only within one kind.  Null kinds, texts and keys take part in no pair; a
+    repeated (kind, key, text) counts once; extra columns are dropped; empty in,
+    empty out.  Pairs are formed between the different texts of a class first and
+    expanded to rows last, so exact copies, however many, are never compared
+    with each other.
+    """
+    texts, members = look_classes(rows, kind, key, text_col)
+    a, b = texts.alias("a"), texts.alias("b")
+    unlike = a.join(b, F.expr("a.kind = b.kind and a.look = b.look and a.form = b.form and a.t < b.t")).select(
+        F.col("a.kind").alias("kind"), F.col("a.t").alias("ta"), F.col("b.t").alias("tb"))
+    m = members.select("kind", "key", "t")
+    pairs = unlike.join(m.toDF("kind", "ka", "ta"), ["kind", "ta"]).join(m.toDF("kind", "kb", "tb"), ["kind", "tb"]).where("ka <> kb")
+    return pairs.select(F.col("kind").alias(kind), F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+
+
+def look_links(rows: DataFrame, kind: str, key: str, text_col: str) -> DataFrame:
+    """(``kind``, ``key``, class_id, n_links): every row with an equal-looking one, its class, and how many it has.
+
+    ``class_id`` is the least key of the class, a link a row of another key whose text looks the same in
+    other characters.  The pairs of ``looking_equal`` are not formed: links are counted from the sizes of a
+    class's texts.  A key of several texts has the links of all of them.
     """
-    r = rows.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text_col).alias("t")).where("key is not null and t is not null").distinct()
-    r = r.select("kind", "key", "t", canonical_udf("t").alias("form"), look_udf("t").alias("look"))
-    r = table(r.select("kind", "key", F.xxhash64("form").alias("f"), F.xxhash64("look").alias("h"), F.xxhash64("t", F.length("t")).alias("c"), "look", "t"), "looks")
-    live = r.groupBy("kind", "f", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("kind", "f", "h")
-    r = r.join(live, ["kind", "f", "h"], "left_semi")
-    a, b = r.alias("a"), r.alias("b")
-    on = " and ".join(f"a.{c} = b.{c}" for c in ("f", "h")) + " and a.kind <=> b.kind and a.key < b.key and a.t <> b.t and a.look = b.look"
-    return a.join(b, F.expr(on)).select(F.col("a.kind").alias(kind), F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
+    _, m = look_classes(rows, kind, key, text_col)
+    per = m.groupBy("kind", "form", "look", "t").agg(F.count(F.lit(1)).alias("n"))
+    every = per.groupBy("kind", "form", "look").agg(F.sum("n").alias("all"))
+    least = m.groupBy("kind", "form", "look").agg(F.min("key").alias("class_id"))
+    # Rows of the same key under another text of the class are no links.
+    own = m.groupBy("kind", "form", "look", "key").agg(F.count(F.lit(1)).alias("mine"))
+    on = ["kind", "form", "look"]
+    r = m.join(per, [*on, "t"]).join(every, on).join(least, on).join(own, [*on, "key"])
+    r = r.groupBy("kind", "key").agg(F.min("class_id").alias("class_id"), F.sum(F.col("all") - F.col("n") - (F.col("mine") - 1)).alias("n_links"))
+    return r.where("n_links > 0").select(F.col("kind").alias(kind), F.col("key").alias(key), "class_id", "n_links")

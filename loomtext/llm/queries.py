@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.bitext import align
 from loomtext.llm.leakage import leaks
-from loomtext.llm.lookalike import forms, looking_equal
+from loomtext.llm.lookalike import forms, look_links, looking_equal
 from loomtext.llm.pii import find_pii, redact
 from loomtext.llm.scan import noise, paragraphs
 from loomtext.llm.sentences import sentence_spans
@@ -41,6 +41,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return looking_equal(_look_rows(spark, d), "record_kind", "record_key", "text")
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return look_links(_look_rows(spark, d), "record_kind", "record_key", "text")
+
+
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms(_look_rows(spark, d), ["record_kind", "record_key"], "text").select("record_kind", "record_key", "form")
 
@@ -58,7 +62,7 @@ def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(read(spark, d, "documents", "doc_id", "text").dropDuplicates(["doc_id"]))
+    return encode_corpus(read(spark, d, "documents", "doc_id", "text"))
 
 
 def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +86,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(read(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
+QUERIES = {"p10_found": p10_found, "p10_redacted": p10_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_paragraphs": p7_paragraphs, "p9_found": p9_found, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p3_links": p3_links, "p8_ids": p8_ids, "p8_decoded": p8_decoded}
 SQL = {
     "p2_found": """
 with r as (

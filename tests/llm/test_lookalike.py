@@ -1,4 +1,4 @@
-from loomtext.llm.lookalike import canonical, forms, look, looking_equal
+from loomtext.llm.lookalike import canonical, forms, look, look_links, looking_equal
 
 
 def test_forms_of_one_look():
@@ -20,8 +20,22 @@ def test_pairs_like_brute_force(spark):
             if k == j and a and b and a < b and s is not None and t is not None and s != t and look(s) == look(t)}
     assert len(got) == len(set(got)) and set(got) == want
     assert forms(df, ["record_key"], "text").count() == df.count()
+    links = {(r.record_kind, r.record_key): r.n_links for r in look_links(df, "record_kind", "record_key", "text").collect()}
+    n = {}
+    for k, a, b in want:
+        for x in (a, b):
+            n[k, x] = n.get((k, x), 0) + 1
+    assert links == n
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "record_kind string, record_key string, text string")
-    assert looking_equal(df, "record_kind", "record_key", "text").collect() == []
+    assert looking_equal(df, "record_kind", "record_key", "text").collect() == [] == look_links(df, "record_kind", "record_key", "text").collect()
+
+
+def test_a_hot_class(spark):
+    rows = [("line", f"a{i}", "the cause") for i in range(3000)] + [("line", "b", "thе cause"), ("line", "c", "the\u00a0cause")]
+    df = spark.createDataFrame(rows, "record_kind string, record_key string, text string")
+    links = {r.record_key: r.n_links for r in look_links(df, "record_kind", "record_key", "text").collect()}
+    assert len(links) == 3002 and links["b"] == 3001 and links["a7"] == 2
+    assert looking_equal(df, "record_kind", "record_key", "text").count() == 6001
