@@ -2,7 +2,7 @@
 
 1. ``split``: documents are split once into words (the tokenizer's own pattern);
    every chunk of documents yields its word list and, per document, the word
-   numbers as compact integers.
+   numbers as compact integers.  A repeated doc_id gives a row each time.
 2. The chunk lists are reduced to the distinct words of the corpus, and each
    distinct word is encoded once.
 3. The ids are joined back to the chunk lists by word, then to the documents by
@@ -58,7 +58,9 @@ def _split(id_type: pa.DataType):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = find(text) if text else ()
                 docs.append(doc)
-                numbers.append(np.fromiter((vocab.setdefault(x, len(vocab)) for x in w), np.int32, len(w)).tobytes())
+                n = np.fromiter((vocab.setdefault(x, len(vocab)) for x in w), np.int32, len(w))
+                # Two bytes a word as long as the chunk's numbers fit into them; the first byte says which.
+                numbers.append(b"2" + n.astype(np.uint16).tobytes() if len(vocab) <= 65536 else b"4" + n.tobytes())
                 chars += len(text or "")
                 if len(docs) >= CHUNK_DOCS or chars >= CHUNK_CHARS:
                     yield flush()
@@ -97,7 +99,7 @@ def _assemble(id_type: pa.DataType, id_col: str):
         start[number], size[number] = off[:-1], np.diff(off)
         out_ids, out_off = [], [0]
         for raw in docs.column("numbers").to_pylist():
-            n = np.frombuffer(raw, np.int32)
+            n = np.frombuffer(raw, np.uint16 if raw[:1] == b"2" else np.int32, offset=1)
             k = size[n]
             total = int(k.sum())
             # positions start[i], start[i]+1, ... of every word, flattened
