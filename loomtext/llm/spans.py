@@ -24,8 +24,8 @@ MIN_CHARS = 100
 #: Code points hashed together by Python at once.
 BLOCK_CHARS = 2_000_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Two independent hashes; together 128 bits tell windows, texts and records apart.
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,14 +43,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(codes: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     """Hash of the k-gram at each position of ``codes`` (len - k + 1 of them)."""
     n = len(codes)
     if n < k:
         return np.zeros(0, np.uint64)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_mix(codes.astype(np.uint64)) * _powers(_BASE, n), out=prefix[1:])
-    h = (prefix[k:] - prefix[:-k]) * _powers(_INVERSE, n - k + 1)
+    np.cumsum(_mix(codes.astype(np.uint64) ^ np.uint64(base >> 32)) * _powers(base, n), out=prefix[1:])
+    h = (prefix[k:] - prefix[:-k]) * _powers(pow(base, -1, 1 << 64), n - k + 1)
     return h ^ (h >> np.uint64(29))
 
 
@@ -119,8 +119,10 @@ def _anchors(k: int, w: int):
 
 
 def _windows(k: int, span: int):
+    names = ["th", "th2", "lo", "hi", "lo2", "hi2"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for th, lo, hi, texts, seeds in _blocks(batches, 3, span):
+        for *ids, texts, seeds in _blocks(batches, len(names), span):
             codes, record, first = _codes(texts)
             mark = np.zeros(len(codes) + 1, np.int64)
             for i, s in enumerate(seeds):
@@ -129,11 +131,11 @@ def _windows(k: int, span: int):
                 np.add.at(mark, first[i] + np.maximum(s - (span - k), 0), 1)
                 np.add.at(mark, first[i] + np.minimum(s, last) + 1, -1)
             at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            h = gram_hashes(codes, span)[at]
             r = record[at]
             yield pa.record_batch(
-                [pa.array(np.array(x, np.int64)[r]) for x in (th, lo, hi)] + [pa.array((at - first[r]).astype(np.int32)), pa.array(h.view(np.int64))],
-                names=["th", "lo", "hi", "pos", "h"])
+                [pa.array(np.array(x, np.int64)[r]) for x in ids] + [pa.array((at - first[r]).astype(np.int32))]
+                + [pa.array(gram_hashes(codes, span, b)[at].view(np.int64)) for b in (_BASE, _SECOND)],
+                names=[*names, "pos", "h", "h2"])
 
     return run
 
@@ -145,35 +147,40 @@ def shared_spans(records: DataFrame, kind: str, key: str, text: str, min_chars:
     exactly in a record of another (kind, key).  Records without one have no
     row.  Null keys and texts and shorter texts share nothing.  A repeated row
     counts once; a key given with several texts gets the largest of their
-    values and is never its own partner.  Extra columns are ignored.  Texts are
-    compared by 64-bit hashes of whole windows.
+    values and is never its own partner.  Extra columns are ignored.  Windows of
+    ``min_chars``, texts and records are told apart by two 64-bit hashes each; the
+    anchors, of one, only propose where windows are compared.
     """
     k = min_chars // 2
     w = min_chars - k + 1
     rec = records.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text).alias("text")).where(
         F.col("key").isNotNull() & (F.length("text") >= min_chars)
-    ).withColumn("rid", F.xxhash64("kind", "key"))
+    ).withColumn("rid", F.xxhash64("kind", "key")).withColumn("rid2", F.xxhash64(F.lit(_SECOND >> 1), "key", "kind"))
 
     anchors = table(rec.select("rid", "text").mapInArrow(_anchors(k, w), "rid bigint, pos int, h bigint"), "anchors")
-    common = anchors.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("h")
+    common = table(anchors.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("h"), "common")
     seeds = table(anchors.join(small(common), "h", "left_semi").groupBy("rid").agg(F.collect_set("pos").alias("seeds")), "seeds")
 
     # Records with a seed; exact copies are one class that is extended once.
-    live = table(rec.join(small(seeds), "rid").withColumn("th", F.xxhash64("text", F.length("text"))), "seeded")
-    classes = live.groupBy("th").agg(
-        F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("text").alias("text"), F.max("seeds").alias("seeds"))
+    live = rec.join(small(seeds), "rid").withColumn("th", F.xxhash64("text", F.length("text"))).withColumn("th2", F.xxhash64(F.lit(_SECOND >> 1), "text"))
+    live = table(live, "seeded")
+    same = ["th", "th2"]
+    classes = live.groupBy(*same).agg(
+        *[f(c).alias(n) for c, a, b in (("rid", "lo", "hi"), ("rid2", "lo2", "hi2")) for f, n in ((F.min, a), (F.max, b))], F.max("text").alias("text"), F.max("seeds").alias("seeds"))
     windows = table(
-        classes.select("th", "lo", "hi", "text", "seeds").mapInArrow(_windows(k, min_chars), "th bigint, lo bigint, hi bigint, pos int, h bigint"), "windows")
-    repeated = windows.groupBy("h").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("h")
+        classes.select(*same, "lo", "hi", "lo2", "hi2", "text", "seeds").mapInArrow(
+            _windows(k, min_chars), "th bigint, th2 bigint, lo bigint, hi bigint, lo2 bigint, hi2 bigint, pos int, h bigint, h2 bigint"), "windows")
+    repeated = windows.groupBy("h", "h2").agg(*[f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"), (F.min, "lo2"), (F.max, "hi2"))])
+    repeated = repeated.where("lo <> hi or lo2 <> hi2").select("h", "h2")
     covered = (
-        windows.join(small(repeated), "h", "left_semi").groupBy("th").agg(F.sort_array(F.collect_set("pos")).alias("p"))
-        .select("th", F.expr(
+        windows.select(*same, "pos", "h", "h2").join(repeated.hint("merge"), ["h", "h2"], "left_semi").groupBy(*same).agg(F.sort_array(F.collect_set("pos")).alias("p"))
+        .select(*same, F.expr(
             "aggregate(p, named_struct('n', 0L, 'e', 0L), (a, s) -> named_struct("
             f"'n', a.n + s + {min_chars} - greatest(a.e, cast(s as bigint)), 'e', cast(s + {min_chars} as bigint)), a -> a.n)"
         ).alias("shared_chars"))
     )
     return (
-        live.select("kind", "key", "th").join(covered, "th")
+        live.select("kind", "key", *same).join(covered, same)
         .groupBy("kind", "key").agg(F.max("shared_chars").alias("shared_chars"))
         .select(F.col("kind").alias(kind), F.col("key").alias(key), "shared_chars")
     )
