@@ -31,10 +31,15 @@ MASKS = ("11011011011", "11101011101", "101110101111")
 BLOCK_CHARS = 4_000_000
 #: What an exchanged word costs a stretch, and the least score of a stretch.
 EXCHANGE_COST, LEAST_SCORE = 4, 10
+#: Items below this many words cannot hold half of themselves in stretches that the masks and the least
+#: score see; they are searched by every run of two words, with a stretch of a quarter of their words.
+SHORT, SHORT_MASKS = 24, ("11", "101")
 #: Share of an item's words that its stretches must hold.
 SHARE = 0.5
 #: Characters of documents hashed at once.
 BATCH_CHARS = 1_000_000
+#: Seed hits expanded at once.
+STEP = 1_000_000
 
 _MARKS = "̀-ͯऀ-ःऺ-ॏ॑-ॗॢॣ"
 _PLAIN = re.compile("[^\\x09-\\x7eāīūśṣṭṇḍĀĪŪŚṢṬṆḌäöüÄÖÜऀ-ॿ㐀-鿿，。；：、！？「」『』（）“”‘’„–—…]")
@@ -69,24 +74,23 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Index:
-    """Seeds of a block of items."""
+    """Seeds of a block of items; items of any lengths lie one behind the other."""
 
     def __init__(self, texts: list[str]):
         tokens = [words(t) for t in texts]
         self.size = np.array([len(t) for t in tokens], np.int64)
-        flat = _hashes(tokens)
+        self.flat = _hashes(tokens)
         self.first = np.concatenate(([0], np.cumsum(self.size)))
-        width = int(self.size.max()) if len(self.size) else 0
-        self.grid = np.zeros((len(texts), width), np.uint64)
-        for i, (a, n) in enumerate(zip(self.first, self.size)):
-            self.grid[i, :n] = flat[a : a + n]
+        self.least = np.where(self.size < SHORT, np.maximum(1, -(-self.size // 4)), LEAST_SCORE)
         self.tables = []
         item = np.repeat(np.arange(len(texts)), self.size)
-        for m in MASKS:
-            h = _seeds(flat, m)
-            at = np.flatnonzero(item[: len(h)] == item[len(m) - 1 :]) if len(h) else np.zeros(0, np.int64)
+        short = self.size[item] < SHORT
+        for m in (*MASKS, *SHORT_MASKS):
+            h = _seeds(self.flat, m)
+            at = np.flatnonzero((item[: len(h)] == item[len(m) - 1 :]) & (short[: len(h)] == (m in SHORT_MASKS))) if len(h) else np.zeros(0, np.int64)
             at = at[np.argsort(h[at], kind="stable")]
-            self.tables.append((m, h[at], item[at], at - self.first[item[at]]))
+            if len(at):
+                self.tables.append((m, h[at], item[at], at - self.first[item[at]]))
 
     def find(self, texts: list[str]) -> list[tuple[int, int]]:
         """(text, item) numbers of the leaks."""
@@ -95,48 +99,66 @@ class Index:
         end = np.cumsum(size)
         x = _hashes(tokens)
         doc = np.repeat(np.arange(len(texts)), size)
-        triples = []
+        longest = int(self.size.max()) if len(self.size) else 0
+        wide = len(x) + longest + 1
+        seen = np.zeros(0, np.int64)
         for m, h, item, pos in self.tables:
             s = _seeds(x, m)
-            a = np.searchsorted(h, s, "left")
-            p = np.flatnonzero(h[np.minimum(a, len(h) - 1)] == s) if len(h) and len(s) else a[:0]
-            if not len(p):
+            if not len(s):
                 continue
+            a = np.searchsorted(h, s, "left")
+            p = np.flatnonzero(h[np.minimum(a, len(h) - 1)] == s)
             r = np.searchsorted(h, s[p], "right") - a[p]
-            rep = np.repeat(p, r)
-            at = np.repeat(a[p] - np.concatenate(([0], np.cumsum(r)[:-1])), r) + np.arange(len(rep))
-            triples.append(np.stack([doc[rep], item[at], rep - pos[at]]))
-        if not triples:
-            return []
-        d, i, g = np.unique(np.concatenate(triples, axis=1), axis=1)
-        width = self.grid.shape[1]
-        step = max(1, 400_000 // max(1, width))
-        steps = np.arange(width)
+            ends = np.cumsum(r)
+            lo = 0
+            while lo < len(p):  # a formula that stands in many items is looked up in steps
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, "right")))
+                q, k = p[lo:hi], r[lo:hi]
+                rep = np.repeat(q, k)
+                at = np.repeat(a[q] - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(len(rep))
+                # The pair of text and item, and the diagonal, as one number.
+                seen = np.union1d(seen, (doc[rep] * len(self.size) + item[at]) * wide + rep - pos[at] + longest)
+                lo = hi
+        pair, g = seen // wide, seen % wide - longest
+        return self._verified(x, size, end, pair // len(self.size), pair % len(self.size), g) if len(seen) else []
+
+    def _verified(self, x: np.ndarray, size: np.ndarray, end: np.ndarray, d: np.ndarray, i: np.ndarray, g: np.ndarray) -> list[tuple[int, int]]:
+        """Of the diagonals (text, item, position) the pairs whose best stretches hold enough of the item."""
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for k in range(0, len(d), step):
-            dk, ik, gk = d[k : k + step], i[k : k + step], g[k : k + step]
-            at = gk[:, None] + steps
-            inside = (at >= (end - size)[dk][:, None]) & (at < end[dk][:, None]) & (steps < self.size[ik][:, None])
-            match = inside & (x[np.clip(at, 0, len(x) - 1)] == self.grid[ik])
+        order = np.argsort(self.size[i], kind="stable")  # items of one length together, so that little is padded
+        d, i, g = d[order], i[order], g[order]
+        at = 0
+        while at < len(d):
+            to = at + max(1, 400_000 // int(self.size[i[at]]))
+            to = min(len(d), at + max(1, 400_000 // int(self.size[i[min(to, len(d)) - 1]])))
+            dk, ik, gk = d[at:to], i[at:to], g[at:to]
+            width = int(self.size[ik].max())
+            steps = np.arange(width)
+            where = gk[:, None] + steps
+            inside = (where >= (end - size)[dk][:, None]) & (where < end[dk][:, None]) & (steps < self.size[ik][:, None])
+            own = self.flat[np.minimum(self.first[ik][:, None] + steps, len(self.flat) - 1)]
+            match = inside & (x[np.clip(where, 0, len(x) - 1)] == own)
             c = np.zeros((len(dk), width + 1), np.int32)
             np.cumsum(np.where(match, np.int32(1), np.int32(-EXCHANGE_COST)), axis=1, out=c[:, 1:])
             top = (c - np.minimum.accumulate(c, axis=1)).max(axis=1)
-            for q in np.flatnonzero(top >= LEAST_SCORE):
-                found.setdefault((int(dk[q]), int(ik[q])), []).extend(stretches(match[q, : self.size[ik[q]]]))
-        return [k for k, s in found.items() if covered(s) >= SHARE * self.size[k[1]]]
+            for q in np.flatnonzero(top >= self.least[ik]):
+                n = int(self.size[ik[q]])
+                found.setdefault((int(dk[q]), int(ik[q])), []).extend(stretches(match[q, :n], int(self.least[ik[q]])))
+            at = to
+        return [k for k, s in found.items() if covered(s, int(min(2, self.size[k[1]] // 8))) >= SHARE * self.size[k[1]]]
 
 
-def stretches(match: np.ndarray) -> list[tuple[int, int]]:
+def stretches(match: np.ndarray, least: int = LEAST_SCORE) -> list[tuple[int, int]]:
     """Disjoint best-scoring stretches [start, end) of one diagonal."""
     out, todo = [], [(0, len(match))]
     while todo:
         a, b = todo.pop()
-        if b - a < LEAST_SCORE:
+        if b - a < least:
             continue
         c = np.concatenate(([0], np.cumsum(np.where(match[a:b], 1, -EXCHANGE_COST))))
         gain = c - np.minimum.accumulate(c)
         j = int(gain.argmax())
-        if gain[j] < LEAST_SCORE:
+        if gain[j] < least:
             continue
         i = int(c[: j + 1].argmin())
         out.append((a + i, a + j))
@@ -144,15 +166,15 @@ def stretches(match: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def covered(s: list[tuple[int, int]]) -> int:
-    """Most words that one stretch, or two that barely overlap, hold together."""
+def covered(s: list[tuple[int, int]], overlap: int = 2) -> int:
+    """Most words that one stretch, or two that overlap by no more than ``overlap``, hold together."""
     s = sorted(set(s))
     best = max((b - a for a, b in s), default=0)
     # For two: prefix maximum over stretches that end before the other begins.
     ends = sorted(s, key=lambda t: t[1])
     k, left = 0, 0
     for a, b in s:
-        while k < len(ends) and ends[k][1] <= a + 2:
+        while k < len(ends) and ends[k][1] <= a + overlap:
             left = max(left, ends[k][1] - ends[k][0])
             k += 1
         if left:
@@ -187,8 +209,8 @@ def _search(shared, ids):
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(doc_id, item_id): documents that hold at least half of an item in one or two stretches.
 
-    Null and empty texts on either side leak nothing, nor do items or documents
-    shorter than a mask.  Repeated rows count once.  Extra columns, also of the
+    Null and empty texts on either side leak nothing, nor does an item of a single
+    word.  Items under SHORT words are searched exactly, by runs of two words.  Repeated rows count once.  Extra columns, also of the
     same names on both sides, are ignored.
     """
     from pyspark.sql.pandas.types import to_arrow_type

@@ -48,3 +48,33 @@ def test_parts():
     assert covered([(0, 10), (5, 30), (31, 40)]) == 34 and covered([]) == 0
     long = " ".join(f"a{i}" for i in range(60))
     assert Index([long, long]).find([long, "", "x"]) == [(0, 0), (0, 1)]
+
+
+def test_short_items_and_lengths_apart():
+    short = [" ".join(f"s{i}x{j}" for j in range(n)) for i, n in enumerate((2, 4, 7, 12, 19, 23))]
+    long = " ".join(f"l{j}" for j in range(30_000))
+    index = Index([*short, long])
+    assert len(index.flat) == sum(len(words(t)) for t in [*short, long])
+    for k, t in enumerate(short):
+        w = t.split()
+        half = -(-len(w) // 2)
+        keep = max(2, half)
+        assert index.find(["before it " + " ".join(w[:keep]) + " behind it"]) == [(0, k)]
+        assert index.find(["before it " + " ".join(w[-keep:]) + " behind it"]) == [(0, k)]
+        if half > 3:  # two stretches that make up half together, and less than half
+            a = half // 2
+            assert index.find([" ".join(w[:a + half % 2]) + " between them " + " ".join(w[-a:])]) == [(0, k)]
+            assert index.find([" ".join(w[:half - 1]) + " no more"]) == []
+    assert index.find([" ".join(f"l{j}" for j in range(9_000, 24_500))]) == [(0, 6)]
+
+
+def test_a_formula_in_all_items(monkeypatch):
+    from loomtext.llm import leakage
+
+    formula = " ".join(f"f{j}" for j in range(14))
+    items = [f"{formula} " + " ".join(f"i{k}w{j}" for j in range(30)) for k in range(60)]
+    docs = [(formula + " ") * 20, items[7], formula + " " + " ".join(items[9].split()[14:44])]
+    want = [(1, 7), (2, 9)]
+    assert sorted(Index(items).find(docs)) == want
+    monkeypatch.setattr(leakage, "STEP", 13)
+    assert sorted(Index(items).find(docs)) == want
