@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from loomtext.operators.windows import running_before
 
-#: Positions per bucket; a (key, bucket) holds at most this many distinct starts.
-BUCKET_WIDTH = 4096
+#: Positions per bucket at least, and buckets per key at most.  Wider ranges (times in microseconds) get wider buckets.
+BUCKET_WIDTH, BUCKETS = 4096, 1 << 20
 
 
-def merge_intervals(df: DataFrame, key: str, start: str, end: str, bucket_width: int = BUCKET_WIDTH) -> DataFrame:
+def merge_intervals(df: DataFrame, key: str, start: str, end: str, bucket_width: int | None = None) -> DataFrame:
     """Covered stretches and gaps of half-open integer intervals per key.
 
     Result columns: ``key``, ``span_kind`` ('covered' | 'gap'), ``start_pos``,
@@ -24,12 +24,18 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str, bucket_width:
     Equal starts are pre-aggregated to their largest end before the shuffle, so
     a key holding a third of all rows shrinks to its distinct starts; the
     running maximum of previous ends is then taken per position bucket with a
-    carry from earlier buckets, never over a whole key in one task.
+    carry from earlier buckets, never over a whole key in one task.  Without a
+    ``bucket_width`` it is taken from the range of all starts.
     """
     s = (
         df.select(F.col(key).alias("_k"), F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
         .where("_k is not null and _s < _e")
-        .withColumn("_b", F.floor(F.col("_s") / bucket_width))
+    )
+    if bucket_width is None:
+        lo, hi = s.agg(F.min("_s"), F.max("_s")).first()
+        bucket_width = max(BUCKET_WIDTH, ((hi or 0) - (lo or 0)) // BUCKETS + 1)
+    s = (
+        s.withColumn("_b", F.floor(F.col("_s") / bucket_width))
         .groupBy("_k", "_b", "_s")
         .agg(F.max("_e").alias("_e"))
     )

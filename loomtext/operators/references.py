@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.operators.windows import running_before
-from loomtext.session import small
 
 
 def existence_deltas(target: DataFrame, key: str, created: str = "created_at", deleted: str = "deleted_at") -> DataFrame:
-    """(ref_key, ts, d): +1 at each creation, -1 at each deletion, summed per (key, ts).
+    """(ref_key, ts, d, made): +1 at each creation, -1 at each deletion, summed per (key, ts); creations alone in ``made``.
 
     A row without a creation time never exists and gives no delta; a deletion
     at or before the creation leaves no time of existence but still counts as
@@ -23,31 +22,30 @@ def existence_deltas(target: DataFrame, key: str, created: str = "created_at", d
         target.select(F.col(key).alias("ref_key"), F.col(created).alias("c"), F.col(deleted).alias("x"))
         .where("ref_key is not null and c is not null")
         .select("ref_key", F.inline(F.array(
-            F.struct(F.col("c").alias("ts"), F.lit(1).alias("d")),
-            F.struct(F.greatest("c", "x").alias("ts"), F.when(F.col("x").isNotNull(), -1).otherwise(0).alias("d")),
-        )))
-        .where("d <> 0")
-        .groupBy("ref_key", "ts").agg(F.sum("d").alias("d"))
+            F.struct(F.col("c").alias("ts"), F.lit(1).alias("d"), F.lit(1).alias("made")),
+            F.struct(F.greatest("c", "x").alias("ts"), F.lit(-1).alias("d"), F.lit(0).alias("made")),
+        )), F.col("x").isNotNull().alias("ended"))
+        .where("made = 1 or ended")
+        .groupBy("ref_key", "ts").agg(F.sum("d").alias("d"), F.sum("made").alias("made"))
     )
 
 
 def existence_periods(deltas: DataFrame) -> DataFrame:
     """(ref_key, since, until): maximal periods in which the signed count is positive.
 
-    The running count is taken per (key, day) with a carry, so a key with very
-    many changes is spread over tasks.
+    Running count and next change are taken per (key, day) with what the other
+    days add, so a key with very many changes is spread over tasks.
     """
     r = running_before(
         deltas.withColumn("day", F.to_date("ts")), ["ref_key"], "day", "ts", "d", F.sum, lambda a, b: a + b, "before"
     ).select("ref_key", "day", "ts", F.coalesce("before", F.lit(0)).alias("b"), (F.coalesce("before", F.lit(0)) + F.col("d")).alias("a"))
     turns = r.where("(a > 0) <> (b > 0)")
-    w = Window.partitionBy("ref_key").orderBy("ts")
-    return turns.withColumn("until", F.lead("ts").over(w)).where("a > 0").select("ref_key", F.col("ts").alias("since"), "until")
-
-
-def key_facts(target: DataFrame, key: str, created: str = "created_at") -> DataFrame:
-    """(ref_key, first_created): one row for every key that ever had a row."""
-    return target.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("ref_key")).agg(F.min(created).alias("first_created"))
+    days = turns.groupBy("ref_key", "day").agg(F.min("ts").alias("first"))
+    after = Window.partitionBy("ref_key").orderBy("day")
+    days = days.select("ref_key", "day", F.lead("first").over(after).alias("later"))
+    w = Window.partitionBy("ref_key", "day").orderBy("ts")
+    turns = turns.withColumn("until", F.lead("ts").over(w)).where("a > 0").join(days, ["ref_key", "day"])
+    return turns.select("ref_key", F.col("ts").alias("since"), F.coalesce("until", "later").alias("until"))
 
 
 def orphan_references(
@@ -64,34 +62,39 @@ def orphan_references(
     satisfy no existence, so it is an orphan with a null period ('missing' or
     'late').  Repeated reference rows give one row.  Empty targets make every
     reference 'missing'.
+
+    References (+1 each) and the existence of targets (+1 at creation, -1 at
+    deletion) form one stream of signed deltas per key.  Running counts over it
+    say at every reference how many rows exist and how many were ever created.
+    They are cut by hours, so a hot key spreads over tasks.
     """
-    # One row per (id, time, key); repeats collapse map-side before any join.
+    name = F.col("ref_table")
     long = refs.select(
-        F.col(ref_id).alias("id"), F.col(at).alias("at"),
-        F.inline(F.array(*[
-            F.struct(F.lit(t).alias("ref_table"), F.col(c).alias("ref_key")) for t, (c, _, _) in targets.items()
-        ])),
+        F.col(ref_id).alias("id"), F.col(at).alias("ts"),
+        F.inline(F.array(*[F.struct(F.lit(t).alias("ref_table"), F.col(c).alias("ref_key")) for t, (c, _, _) in targets.items()])),
     ).where("ref_key is not null")
-
-    def tag(f: DataFrame, t: str) -> DataFrame:
-        return f.withColumn("ref_table", F.lit(t))
-
-    periods = reduce(DataFrame.unionByName, [tag(existence_periods(existence_deltas(f, k)), t) for t, (_, f, k) in targets.items()])
-    facts = reduce(DataFrame.unionByName, [tag(key_facts(f, k), t) for t, (_, f, k) in targets.items()])
-    on = (F.col("r.ref_table") == F.col("p.ref_table")) & (F.col("r.ref_key") == F.col("p.ref_key"))
-    live = on & (F.col("p.since") <= F.col("r.at")) & (F.col("p.until").isNull() | (F.col("p.until") > F.col("r.at")))
-    dead = long.alias("r").join(small(periods).alias("p"), live, "left_anti")
-    reason = (
-        F.when(F.col("p.ref_key").isNull(), "missing")
-        .when(F.col("p.first_created") <= F.col("r.at"), "deleted")
-        .otherwise("late")
-    )
-    return (
-        dead.alias("r").join(small(facts).alias("p"), on, "left")
-        .select(F.col("r.id").alias(ref_id), F.col("r.ref_table").alias("ref_table"),
-                F.date_format("r.at", "yyyy-MM").alias("period"), reason.alias("reason"))
-        .distinct()
-    )
+    known = reduce(DataFrame.unionByName, [f.select(F.lit(t).alias("ref_table"), F.col(k).alias("ref_key")) for t, (_, f, k) in targets.items()])
+    known = known.where("ref_key is not null").distinct().withColumn("known", F.lit(True))
+    steps = reduce(DataFrame.unionByName, [
+        existence_deltas(f, k).select(F.lit(t).alias("ref_table"), "ref_key", "ts", "d", "made") for t, (_, f, k) in targets.items()])
+
+    keys = ["ref_table", "ref_key"]
+    none = F.lit(None).cast(long.schema["id"].dataType)
+    flow = long.where("ts is not null").select(*keys, "ts", "id", F.lit(1).alias("n_refs"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("made"))
+    flow = flow.unionByName(steps.select(*keys, "ts", none.alias("id"), F.lit(0).alias("n_refs"), "d", "made"))
+    flow = flow.withColumn("bucket", F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")).repartition(*keys, "bucket")
+    # What the earlier buckets of a key add up to; then, inside a bucket, row by row with its equals.
+    tops = flow.groupBy(*keys, "bucket").agg(F.sum("d").alias("d"), F.sum("made").alias("made"))
+    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("d", "made")])
+    inside = Window.partitionBy(*keys, "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = flow.select(*keys, "bucket", "ts", "id", "n_refs", *[F.sum(c).over(inside).alias(c) for c in ("d", "made")]).where("n_refs > 0")
+    run = run.join(tops.hint("merge"), [*keys, "bucket"]).where("d + d_before <= 0")
+    dead = run.select("id", *keys, "ts", (F.col("made") + F.col("made_before") > 0).alias("made"))
+    dead = dead.unionByName(long.where("ts is null").select("id", *keys, "ts", F.lit(False).alias("made")))
+    reason = F.when(F.col("made"), "deleted").when(F.col("known"), "late").otherwise("missing")
+    return dead.join(known, keys, "left").select(
+        F.col("id").alias(ref_id), name, F.date_format("ts", "yyyy-MM").alias("period"), reason.alias("reason")).distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomtext.operators.intervals import merge_intervals
 from loomtext.operators.references import apply_changes, current_orphans, orphan_references, orphan_report
+from loomtext.operators.windows import latest
+from loomtext.session import table
 from loomtext.sources.tables import read
 
 
@@ -29,17 +31,34 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_current(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans now: state built from nothing by one batch of change deltas."""
-    refs = read(spark, d, "passage_mappings", "fragment_id", "passage_id", "component_id", "block_id").dropDuplicates(["fragment_id"])
+    """Orphans now: a state of signed counts maintained over two batches of change deltas.
+
+    The batches are cut at the middle of the selection times.  The second one holds the deletions since
+    then, and takes back the references of fragments that were delivered again.
+    """
+    refs = latest(read(spark, d, "passage_mappings", "fragment_id", "passage_id", "component_id", "block_id", "selected_at", "received_at"),
+                  "fragment_id", "received_at", ["passage_id", "component_id", "block_id", "selected_at"])
+    lo, hi = refs.agg(F.min("selected_at"), F.max("selected_at")).first()
+    cut = F.lit(lo + (hi - lo) / 2 if lo else None).cast("timestamp")
     targets = _targets(spark, d)
-    changes = refs.select(F.inline(F.array(*[
-        F.struct(F.lit(t).alias("ref_table"), F.col(c).alias("ref_key")) for t, (c, _, _) in targets.items()
-    ]))).selectExpr("ref_table", "ref_key", "1L as n_refs", "0L as n_rows")
-    for t, (_, f, k) in targets.items():
-        changes = changes.unionByName(
-            f.distinct().select(F.lit(t).alias("ref_table"), F.col(k).alias("ref_key"), F.lit(0).cast("bigint").alias("n_refs"),
-                     F.expr("case when created_at is not null and deleted_at is null then 1L else 0L end").alias("n_rows")))
-    return current_orphans(apply_changes(changes.limit(0), changes))
+    name = F.inline(F.array(*[F.struct(F.lit(t).alias("ref_table"), F.col(c).alias("ref_key")) for t, (c, _, _) in targets.items()]))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    cols = ["ref_table", "ref_key", "n_refs", "n_rows"]
+    empty = spark.createDataFrame([], "ref_table string, ref_key string, n_refs bigint, n_rows bigint")
+
+    def batch(late: bool) -> DataFrame:
+        new = F.coalesce(F.col("selected_at") >= cut, F.lit(False))
+        out = refs.where(new if late else ~new).select(name).select("ref_table", "ref_key", one.alias("n_refs"), zero.alias("n_rows"))
+        for t, (_, f, k) in targets.items():
+            f = f.distinct().where("created_at is not null").select(F.lit(t).alias("ref_table"), F.col(k).alias("ref_key"), "created_at", "deleted_at")
+            made, gone = F.coalesce(F.col("created_at") >= cut, F.lit(False)), F.coalesce(F.col("deleted_at") >= cut, F.lit(False))
+            ended = F.col("deleted_at").isNotNull()
+            n = F.when(made if late else ~made, 1).otherwise(0) - F.when(ended & (gone if late else ~gone), 1).otherwise(0)
+            out = out.unionByName(f.select("ref_table", "ref_key", zero.alias("n_refs"), n.cast("bigint").alias("n_rows")))
+        return out.select(*cols)
+
+    state = table(apply_changes(empty, batch(False)), "orphan-state")
+    return current_orphans(apply_changes(state, batch(True)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
