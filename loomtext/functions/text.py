@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 #: A token: one CJK character, or a run of letters, marks and digits with single joiners inside.
 WORD_CHARS = r"[\p{L}\p{M}\p{N}]"
@@ -82,6 +84,8 @@ def _udf(f):
 
 iast_udf, letters_key_udf, fold_udf, lexical_form_udf = _udf(iast), _udf(letters_key), _udf(fold), _udf(lexical_form)
 analysis_form_udf = _udf(lambda s: unicodedata.normalize("NFKC", s).lower().strip())
+root_form_udf = _udf(lambda s: unicodedata.normalize("NFKC", s).lower())
+composed_udf = _udf(lambda s: unicodedata.normalize("NFC", s))
 manuscript_fold_udf = _udf(lambda s: unicodedata.normalize("NFC", s).lower())
 
 
@@ -90,6 +94,31 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+@lru_cache(1)
+def _token_pattern():
+    import regex
+
+    return regex.compile(re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", TOKEN))
+
+
+#: Number labels ('1.2. ') at line starts.
+NUMBER_LABEL = re.compile(r"^\s*\d+(?:\.\d+)+\.\s+", re.MULTILINE)
+_SPAN = StructType([StructField("surface", StringType()), StructField("start_pos", LongType()), StructField("end_pos", LongType()), StructField("label", BooleanType())])
+
+
+def token_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
+    """(surface, start, end, label) of every token; ``label``: it belongs to a number label at a line's start."""
+    if not text:
+        return []
+    labels = [m.span() for m in NUMBER_LABEL.finditer(text)]
+    return [(m[0], m.start(), m.end(), any(a <= m.start() and m.end() <= b for a, b in labels)) for m in _token_pattern().finditer(text)]
+
+
+@F.pandas_udf(ArrayType(_SPAN))
+def token_spans_udf(text: pd.Series) -> pd.Series:
+    return pd.Series([[{"surface": w, "start_pos": a, "end_pos": b, "label": x} for w, a, b, x in token_spans(t)] for t in text])
+
+
 def clean_text(text: Column) -> Column:
     """Line feeds only, no blanks at line ends, at most one blank line, trimmed."""
     s = F.regexp_replace(text, "\r\n?", "\n")
@@ -128,8 +157,6 @@ def snippet(text: Column, start: Column, end: Column) -> Column:
 
 def highlight(text: Column, terms: list[str]) -> Column:
     """Marks all terms, longest first, whatever their case."""
-    import re
-
     alts = "|".join(re.escape(t) for t in sorted({t for t in terms if t}, key=lambda t: (-len(t), t)))
     return F.regexp_replace(text, f"(?i)({alts})", "<mark>$1</mark>") if alts else text
 
@@ -176,15 +203,21 @@ def lexically_eligible(token: Column, lang: Column) -> Column:
     )
 
 
-def without_labels(text: Column) -> Column:
-    """Text without bracketed speaker labels such as '[Objection:]', squeezed."""
-    return squeeze(F.regexp_replace(text, r"\[[^\[\]\n]{1,40}:\]", " "))
+#: Speakers whose bracketed label is no part of the wording; verse labels such as '[12a]' neither.
+SPEAKERS = ("Vasubandhu", "Objection", "Opponent", "Reply")
+
+
+def without_labels(text: Column, speakers: tuple[str, ...] = SPEAKERS) -> Column:
+    """Text without bracketed speaker and verse labels ('[Objection:]', '[12a]'), squeezed.
+
+    Other bracketed words stay.  The label may end in a colon or full stop.
+    """
+    names = "|".join(re.escape(x) for x in speakers)
+    return squeeze(F.regexp_replace(text, rf"(?i)\[(?:{names}|\d+[a-d]*)[:.]?\]", " "))
 
 
 def loose_pattern(marker: str) -> str:
     """Regular expression for a marker in which white space does not matter."""
-    import re
-
     return r"\s*".join(re.escape(c) for c in marker if not c.isspace())
 
 

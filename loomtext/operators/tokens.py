@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import PIECE, WORD_CHARS, kwic, tokens
+from loomtext.functions.text import analysis_form_udf, composed_udf, kwic, token_spans_udf, tokens
 
 
 def token_forms(docs: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -14,19 +16,13 @@ def token_forms(docs: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def token_offsets(docs: DataFrame, doc_id: str, text: str, *keys: str) -> DataFrame:
-    """doc_id, keys, idx, surface, norm, start_pos, end_pos.
+    """doc_id, keys, idx, surface, norm, start_pos, end_pos, label.
 
-    Tokens and gaps cover every character; a running sum of their lengths gives
-    the offsets.  Null and empty texts have no token; ``doc_id`` with ``keys``
-    must be unique.
+    Positions are found inside the row, so nothing is shuffled.  ``label`` marks
+    tokens of a number label at a line's start.  Null and empty texts have no token.
     """
-    pieces = F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
-    p = docs.select(doc_id, *keys, F.posexplode(pieces).alias("pos", "surface"))
-    w = Window.partitionBy(doc_id, *keys).orderBy("pos")
-    p = p.withColumn("end_pos", F.sum(F.length("surface")).over(w)).withColumn("start_pos", F.col("end_pos") - F.length("surface"))
-    is_token = F.col("surface").rlike("^" + WORD_CHARS)
-    p = p.withColumn("idx", F.sum(F.when(is_token, 1).otherwise(0)).over(w) - 1).where(is_token)
-    return p.select(doc_id, *keys, F.col("idx").cast("bigint").alias("idx"), "surface", F.lower("surface").alias("norm"), "start_pos", "end_pos")
+    t = docs.select(doc_id, *keys, F.posexplode(token_spans_udf(F.col(text))).alias("idx", "t"))
+    return t.select(doc_id, *keys, F.col("idx").cast("bigint").alias("idx"), "t.surface", F.lower("t.surface").alias("norm"), "t.start_pos", "t.end_pos", "t.label")
 
 
 def token_id(passage: str, source: str, idx: str):
@@ -35,9 +31,16 @@ def token_id(passage: str, source: str, idx: str):
 
 
 def form_frequency(docs: DataFrame, text: str, passage: str) -> DataFrame:
-    """form, n, n_passages over lower-cased tokens."""
-    return token_forms(docs, text, passage).groupBy(F.col("norm").alias("form")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(passage)).alias("n_passages"))
+    """form, n, n_passages, surface, first_passage: every form in compatibility normalisation, lower case, trimmed.
+
+    ``surface`` is the first spelling met, in the order of passages (null first) and spellings.  Spellings
+    are counted first and each distinct one is normalised once.  Empty forms are dropped.
+    """
+    per = token_forms(docs, text, passage).groupBy(F.col("surface"), F.col(passage).alias("passage")).agg(F.count(F.lit(1)).alias("k"))
+    per = per.withColumn("form", analysis_form_udf("surface")).where("form <> ''")
+    return per.groupBy("form").agg(
+        F.sum("k").alias("n"), F.count_distinct("passage").alias("n_passages"),
+        F.min_by("surface", F.struct("passage", "surface")).alias("surface"), F.min_by("passage", F.struct("passage", "surface")).alias("first_passage"))
 
 
 def witness_statistics(docs: DataFrame, source: str, unit: str, text: str) -> DataFrame:
@@ -64,24 +67,104 @@ def concordance(docs: DataFrame, doc_id: str, text: str, form: str) -> DataFrame
     return t.join(hit.select(doc_id, text), doc_id).select(doc_id, "idx", "start_pos", left.alias("left_context"), "surface", right.alias("right_context"))
 
 
-def unique_context_pairs(old: DataFrame, new: DataFrame, key: str, sizes: tuple[int, ...] = (1, 3, 5, 9, 17)) -> DataFrame:
+SIZES = (1, 3, 5, 9, 17)
+
+
+def unique_context_pairs(old: DataFrame, new: DataFrame, key: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """key, old_idx, new_idx: tokens re-anchored by n-grams unique on both sides.
 
     ``old`` and ``new``: key, idx, norm.  Pairs voted for by any window size are
     kept only where neither side has another partner.
     """
-    def grams(t: DataFrame, n: int) -> DataFrame:
-        w = Window.partitionBy(key).orderBy("idx")
-        parts = [F.col("norm")] + [F.lead("norm", i).over(w) for i in range(1, n)]
-        g = t.select(key, "idx", F.when(F.lead("idx", n - 1).over(w).isNotNull() if n > 1 else F.lit(True), F.concat_ws("\u0001", *parts)).alias("g")).where("g is not null")
-        return g.groupBy(key, "g").agg(F.min("idx").alias("idx"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
-
-    pairs = None
-    for n in sizes:
-        a, b = grams(old, n).withColumnRenamed("idx", "old_idx"), grams(new, n).withColumnRenamed("idx", "new_idx")
-        p = a.join(b, [key, "g"]).select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
-            (F.col("old_idx") + i).alias("old_idx"), (F.col("new_idx") + i).alias("new_idx")))).alias("p")).select(key, "p.*")
-        pairs = p if pairs is None else pairs.unionByName(p)
-    pairs = pairs.distinct()
-    one = pairs.groupBy(key, "old_idx").agg(F.max("new_idx").alias("new_idx"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
-    return one.join(pairs.groupBy(key, "new_idx").agg(F.count(F.lit(1)).alias("c")).where("c = 1").drop("c"), [key, "new_idx"]).select(key, "old_idx", "new_idx")
+    side = lambda d, n: d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "norm"))).alias(n))
+    j = side(old, "o").join(side(new, "n"), key)
+    words = lambda c: F.transform(c, lambda x: x.norm)
+    at = lambda c: F.transform(c, lambda x: x.idx)
+    p = context_pairs(j.select(key, words("o").alias("before"), words("n").alias("after")), key, sizes)
+    p = p.join(j.select(key, at("o").alias("oi"), at("n").alias("ni")), key)
+    return p.select(key, F.get("oi", F.col("old_idx").cast("int")).alias("old_idx"), F.get("ni", F.col("new_idx").cast("int")).alias("new_idx"))
+
+
+def _windows(ids: np.ndarray, doc: np.ndarray, size: int, made: dict[int, np.ndarray]) -> np.ndarray:
+    """A number for the window of ``size`` words at each place (equal numbers: equal windows); -1 over a text's end.
+
+    Windows are put together from two shorter ones, so numbers are exact.
+    """
+    if size not in made:
+        half = size // 2 if size % 2 == 0 else size - 1
+        a, b = _windows(ids, doc, half, made), _windows(ids, doc, size - half, made)
+        out = np.full(len(ids), -1, np.int64)
+        n = len(ids) - half
+        if n > 0:
+            ok = np.flatnonzero((a[:n] >= 0) & (b[half:] >= 0) & (doc[:n] == doc[half:]))
+            if len(ok):
+                out[ok] = np.unique(a[ok] * (int(b.max()) + 1) + b[ok + half], return_inverse=True)[1]
+        made[size] = out
+    return made[size]
+
+
+def match_contexts(before: list[list[str]], after: list[list[str]], sizes: tuple[int, ...] = SIZES) -> list[tuple[int, int, int]]:
+    """(text, old place, new place) of the words of all texts that unique windows pair one to one."""
+    texts = [*before, *after]
+    vocab: dict[tuple[int, str], int] = {}
+    n = sum(map(len, texts))
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    # A text and its new version share their numbers, no other text does.
+    ids = np.fromiter((vocab.setdefault((k % max(1, len(before)), w), len(vocab)) for k, t in enumerate(texts) for w in t), np.int64, n)
+    doc = np.repeat(np.arange(len(texts)), size)
+    first = np.concatenate(([0], np.cumsum(size)))
+    half = int(first[len(before)])
+    made, votes = {1: ids}, []
+    for s in sizes:
+        w = _windows(ids, doc, s, made)
+        live = np.flatnonzero(w >= 0)
+        if not len(live):
+            continue
+        old, new = live[live < half], live[live >= half]
+        top = int(w.max()) + 1
+        c = np.bincount(w[old], minlength=top) == 1
+        c &= np.bincount(w[new], minlength=top) == 1
+        to = np.full(top, -1, np.int64)
+        to[w[new]] = new
+        at = old[c[w[old]]]
+        for o in range(s):
+            votes.append((at + o) * n + to[w[at]] + o)
+    pairs = np.unique(np.concatenate(votes)) if votes else np.zeros(0, np.int64)
+    a, b = pairs // max(1, n), pairs % max(1, n)
+    ok = (np.bincount(a, minlength=n)[a] == 1) & (np.bincount(b, minlength=n)[b] == 1) if len(pairs) else np.zeros(0, bool)
+    a, b = a[ok], b[ok]
+    return list(zip(doc[a].tolist(), (a - first[doc[a]]).tolist(), (b - first[doc[b]]).tolist()))
+
+
+def context_pairs(rows: DataFrame, key: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """key, old_idx, new_idx for ``rows`` (key, before, after: lists of words), without a shuffle.
+
+    Null lists are empty, and a null word is a word of its own.
+    """
+    kind = rows.schema[key].dataType
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(0)
+            lists = [[[w or "\0" for w in x or []] for x in b.column(i).to_pylist()] for i in (1, 2)]
+            got = match_contexts(*lists, sizes)
+            yield pa.record_batch([keys.take(pa.array([d for d, _, _ in got], pa.int64())), pa.array([i for _, i, _ in got], pa.int64()), pa.array([j for _, _, j in got], pa.int64())],
+                                  names=[key, "old_idx", "new_idx"])
+
+    return rows.select(key, "before", "after").mapInArrow(run, f"{key} {kind.simpleString()}, old_idx bigint, new_idx bigint")
+
+
+def reanchor_texts(rows: DataFrame, key: str, before: str, after: str, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """key, old_idx, new_idx: tokens of an edited text found again by unique, exact context.
+
+    Words are compared in composed form (NFC), case included; tokens of number labels take no part.  Repeated
+    or conflicting contexts stay unresolved.  Null texts have no tokens.
+    """
+    plain = lambda c: F.filter(F.transform(token_spans_udf(F.col(c)), lambda t, i: F.struct(i.alias("i"), t.surface.alias("w"), t.label.alias("label"))), lambda t: ~t.label)
+    r = rows.select(key, plain(before).alias("o"), plain(after).alias("n"))
+    # Words are joined by a control character to be composed in one call, and cut again.
+    nfc = lambda c: F.when(F.size(c) > 0, F.split(composed_udf(F.array_join(F.transform(c, lambda t: t.w), "\1")), "\1"))
+    at = lambda c: F.transform(c, lambda t: t.i)
+    r = r.select(F.struct(key, at("o").alias("oi"), at("n").alias("ni")).alias("k"), nfc("o").alias("before"), nfc("n").alias("after"))
+    p = context_pairs(r, "k", sizes)
+    return p.select(f"k.{key}", F.get("k.oi", F.col("old_idx").cast("int")).alias("old_idx"), F.get("k.ni", F.col("new_idx").cast("int")).alias("new_idx"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import TOKEN
+from loomtext.functions.text import SPEAKERS, TOKEN
 
 
 def unit_targets(alignments: DataFrame) -> DataFrame:
@@ -144,15 +146,18 @@ def context_groups(units: DataFrame, keys: list[str], order: str, most: int = 4)
     return ahead.select(*keys, F.col(order).alias("first"), F.inline(F.filter(sizes, lambda x: x.isNotNull())))
 
 
-def chunk_runs(tokens: DataFrame, key: str):
+def chunk_runs(tokens: DataFrame, key: str, least_chars: int = 18):
     """key, lo, hi: free tokens cut into clauses (sequential, one task per key).
 
     ``tokens``: key, idx, surface, gap (text up to the next token).  A chunk
     closes at a sentence mark from four tokens on unless after an abbreviation,
-    at a comma or colon from 75, and at 110; shorter ones than four are dropped.
+    at a comma or colon from 75, and at 110; ones of less than four tokens or
+    ``least_chars`` characters (without labels) are dropped.
     """
     import pandas as pd
 
+    label = re.compile(rf"\[(?:{'|'.join(SPEAKERS)}|\d+[a-d]*)[:.]?\]", re.IGNORECASE)
+
     stop = {"etc", "e", "g", "i", "viz", "d", "h", "usw", "b", "tzn"}  # fixed values
     kind = tokens.schema[key].dataType.simpleString()
 
@@ -170,7 +175,8 @@ def chunk_runs(tokens: DataFrame, key: str):
             soft = len(cur) >= 75 and any(c in ",，:" for c in gap)
             final = n + 1 == len(rows) or rows[n + 1][0] != i + 1
             if end or soft or len(cur) >= 110 or final:
-                if len(cur) >= 4:
+                words = "".join(x + (y or "") for _, x, y in rows[n + 1 - len(cur):n]) + s if cur else ""
+                if len(cur) >= 4 and len(" ".join(label.sub(" ", words).split())) >= least_chars:
                     out.append((g[key].iloc[0], cur[0], cur[-1]))
                 cur = []
         return pd.DataFrame(out, columns=[key, "lo", "hi"])

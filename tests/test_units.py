@@ -46,10 +46,19 @@ def test_text_of_runs_and_groups(spark):
     g = spark.createDataFrame([(1, i, f"s{i}") for i in range(3)], "k int, o int, text string")
     assert {(r.first, r.size, r.text) for r in units.context_groups(g, ["k"], "o", 2).collect()} == {(0, 1, "s0"), (1, 1, "s1"), (2, 1, "s2"), (0, 2, "s0 s1"), (1, 2, "s1 s2")}
     d = spark.createDataFrame([(1, "a b c etc. dd ee. ff gg hh ii! jj")], "k int, text string")
-    assert [(r.lo, r.hi) for r in units.chunk_runs(units.gaps_after(d, "k", "text"), "k").collect()] == [(0, 5), (6, 9)]
+    assert [(r.lo, r.hi) for r in units.chunk_runs(units.gaps_after(d, "k", "text"), "k", 0).collect()] == [(0, 5), (6, 9)]
 
 
 def test_override(spark):
     h = spark.createDataFrame([("h", ["t1"])], "unit_id string, token_ids array<string>")
     m = spark.createDataFrame([("m1", ["t1", "t2"]), ("m2", ["t3"]), ("m3", None)], "unit_id string, token_ids array<string>")
     assert {r.unit_id for r in units.override(h, m).collect()} == {"h", "m2", "m3"}
+
+
+def test_chunks_need_eighteen_characters_of_wording(spark):
+    rows = [(1, "a b c d q. The long sentence stays in here. [Vasubandhu:] x y z w. [12a] It is a full clause again"), (2, None), (3, "")]
+    d = spark.createDataFrame(rows, "k int, text string")
+    t = units.gaps_after(d, "k", "text")
+    w = {r.idx: r.surface for r in t.where("k = 1").collect()}
+    got = [" ".join(w[i] for i in range(r.lo, r.hi + 1)) for r in units.chunk_runs(t, "k").collect()]
+    assert got == ["The long sentence stays in here", "12a It is a full clause again"]
