@@ -56,7 +56,7 @@ def test_override(spark):
 
 
 def test_chunks_need_eighteen_characters_of_wording(spark):
-    rows = [(1, "a b c d q. The long sentence stays in here. [Vasubandhu:] x y z w. [12a] It is a full clause again"), (2, None), (3, "")]
+    rows = [(1, "a b c d q. The long sentence stays in here. x [Vasubandhu:] y z w. [12a] It is a full clause again"), (2, None), (3, "")]
     d = spark.createDataFrame(rows, "k int, text string")
     t = units.gaps_after(d, "k", "text")
     w = {r.idx: r.surface for r in t.where("k = 1").collect()}
