@@ -119,7 +119,7 @@ def _anchors(k: int, w: int):
 
 
 def _windows(k: int, span: int):
-    names = ["th", "th2", "lo", "hi", "lo2", "hi2"]
+    names = ["c", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *ids, texts, seeds in _blocks(batches, len(names), span):
@@ -148,37 +148,35 @@ def shared_spans(records: DataFrame, kind: str, key: str, text: str, min_chars:
     row.  Null keys and texts and shorter texts share nothing.  A repeated row
     counts once; a key given with several texts gets the largest of their
     values and is never its own partner.  Extra columns are ignored.  Windows of
-    ``min_chars``, texts and records are told apart by two 64-bit hashes each; the
-    anchors, of one, only propose where windows are compared.
+    ``min_chars`` and texts are told apart by two 64-bit hashes each.  One is enough for anchors, which only
+    propose where windows are compared, and for records, of which just those that share a window are compared.
     """
     k = min_chars // 2
     w = min_chars - k + 1
     rec = records.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(text).alias("text")).where(
         F.col("key").isNotNull() & (F.length("text") >= min_chars)
-    ).withColumn("rid", F.xxhash64("kind", "key")).withColumn("rid2", F.xxhash64(F.lit(_SECOND >> 1), "key", "kind"))
+    ).withColumn("rid", F.xxhash64("kind", "key"))
 
     anchors = table(rec.select("rid", "text").mapInArrow(_anchors(k, w), "rid bigint, pos int, h bigint"), "anchors")
     common = table(anchors.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("h"), "common")
     seeds = table(anchors.join(small(common), "h", "left_semi").groupBy("rid").agg(F.collect_set("pos").alias("seeds")), "seeds")
 
     # Records with a seed; exact copies are one class that is extended once.
-    live = rec.join(small(seeds), "rid").withColumn("th", F.xxhash64("text", F.length("text"))).withColumn("th2", F.xxhash64(F.lit(_SECOND >> 1), "text"))
-    live = table(live, "seeded")
     same = ["th", "th2"]
-    classes = live.groupBy(*same).agg(
-        *[f(c).alias(n) for c, a, b in (("rid", "lo", "hi"), ("rid2", "lo2", "hi2")) for f, n in ((F.min, a), (F.max, b))], F.max("text").alias("text"), F.max("seeds").alias("seeds"))
+    live = rec.join(small(seeds), "rid").withColumn("th", F.xxhash64("text", F.length("text"))).withColumn("th2", F.xxhash64(F.lit(_SECOND >> 1), "text"))
+    classes = live.groupBy(*same).agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.max("text").alias("text"), F.max("seeds").alias("seeds"))
+    classes = table(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     windows = table(
-        classes.select(*same, "lo", "hi", "lo2", "hi2", "text", "seeds").mapInArrow(
-            _windows(k, min_chars), "th bigint, th2 bigint, lo bigint, hi bigint, lo2 bigint, hi2 bigint, pos int, h bigint, h2 bigint"), "windows")
-    repeated = windows.groupBy("h", "h2").agg(*[f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi"), (F.min, "lo2"), (F.max, "hi2"))])
-    repeated = repeated.where("lo <> hi or lo2 <> hi2").select("h", "h2")
+        classes.select("c", "lo", "hi", "text", "seeds").mapInArrow(_windows(k, min_chars), "c bigint, lo bigint, hi bigint, pos int, h bigint, h2 bigint"), "windows")
+    repeated = windows.groupBy("h", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h", "h2")
     covered = (
-        windows.select(*same, "pos", "h", "h2").join(repeated.hint("merge"), ["h", "h2"], "left_semi").groupBy(*same).agg(F.sort_array(F.collect_set("pos")).alias("p"))
-        .select(*same, F.expr(
+        windows.select("c", "pos", "h", "h2").join(repeated.hint("merge"), ["h", "h2"], "left_semi").groupBy("c").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+        .select("c", F.expr(
             "aggregate(p, named_struct('n', 0L, 'e', 0L), (a, s) -> named_struct("
             f"'n', a.n + s + {min_chars} - greatest(a.e, cast(s as bigint)), 'e', cast(s + {min_chars} as bigint)), a -> a.n)"
         ).alias("shared_chars"))
     )
+    covered = classes.select("c", *same).join(covered, "c").drop("c")
     return (
         live.select("kind", "key", *same).join(covered, same)
         .groupBy("kind", "key").agg(F.max("shared_chars").alias("shared_chars"))
