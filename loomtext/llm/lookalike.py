@@ -133,10 +133,10 @@ def look_classes(rows: DataFrame, kind: str, key: str, text_col: str) -> tuple[D
     texts = texts.select("kind", "t", canonical_udf("t").alias("form"), look_udf("t").alias("look"))
     # Candidates share the canonical form; the exact look decides.
     texts = table(texts.select("*", F.xxhash64("form").alias("f"), F.xxhash64("look").alias("h")), "looks")
-    live = texts.groupBy("kind", "f", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    texts = texts.join(live.hint("merge"), ["kind", "f", "h"], "left_semi")
+    live = table(texts.groupBy("kind", "f", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-looks")
+    texts = texts.join(small(live), ["kind", "f", "h"], "left_semi")
     live = texts.groupBy("kind", "form", "look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "form", "look")
-    texts = table(texts.select("kind", "look", "t", "form").join(live.hint("merge"), ["kind", "form", "look"], "left_semi"), "equal-looks")
+    texts = table(texts.select("kind", "look", "t", "form").join(live.hint("merge"), ["kind", "form", "look"], "left_semi"), "equal-looks")  # few rows are left here
     return texts, table(r.join(small(texts, columns=["kind", "t", "look", "form"]), ["kind", "t"]).distinct(), "equal-rows")
 
 
