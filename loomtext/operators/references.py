@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.operators.windows import running_before
+from loomtext.session import small, table
+
+
+#: Rows of one key that one task may run through.
+HOT = 1_000_000
 
 
 def existence_deltas(target: DataFrame, key: str, created: str = "created_at", deleted: str = "deleted_at") -> DataFrame:
@@ -49,7 +54,7 @@ def existence_periods(deltas: DataFrame) -> DataFrame:
 
 
 def orphan_references(
-    refs: DataFrame, ref_id: str, at: str, targets: dict[str, tuple[str, DataFrame, str]]
+    refs: DataFrame, ref_id: str, at: str, targets: dict[str, tuple[str, DataFrame, str]], hot: int = HOT
 ) -> DataFrame:
     """References whose target had no existing row at the time of the reference.
 
@@ -63,38 +68,50 @@ def orphan_references(
     'late').  Repeated reference rows give one row.  Empty targets make every
     reference 'missing'.
 
-    References (+1 each) and the existence of targets (+1 at creation, -1 at
-    deletion) form one stream of signed deltas per key.  Running counts over it
-    say at every reference how many rows exist and how many were ever created.
-    They are cut by hours, so a hot key spreads over tasks.
+    References and the existence of targets (+1 at creation, -1 at deletion) form one stream of signed deltas
+    per key.  Running counts over it say at every reference how many rows exist and how many were ever created.
+    A key with more than ``hot`` rows is cut by hours, and the counts of earlier hours are carried, so that it
+    spreads over tasks.
     """
-    name = F.col("ref_table")
+    names = list(targets)
+    code = lambda t: F.lit(names.index(t)).cast("tinyint")
     long = refs.select(
         F.col(ref_id).alias("id"), F.col(at).alias("ts"),
-        F.inline(F.array(*[F.struct(F.lit(t).alias("ref_table"), F.col(c).alias("ref_key")) for t, (c, _, _) in targets.items()])),
+        F.inline(F.array(*[F.struct(code(t).alias("ref_table"), F.col(c).alias("ref_key")) for t, (c, _, _) in targets.items()])),
     ).where("ref_key is not null")
-    known = reduce(DataFrame.unionByName, [f.select(F.lit(t).alias("ref_table"), F.col(k).alias("ref_key")) for t, (_, f, k) in targets.items()])
+    known = reduce(DataFrame.unionByName, [f.select(code(t).alias("ref_table"), F.col(k).alias("ref_key")) for t, (_, f, k) in targets.items()])
     known = known.where("ref_key is not null").distinct().withColumn("known", F.lit(True))
     steps = reduce(DataFrame.unionByName, [
-        existence_deltas(f, k).select(F.lit(t).alias("ref_table"), "ref_key", "ts", "d", "made") for t, (_, f, k) in targets.items()])
+        existence_deltas(f, k).select(code(t).alias("ref_table"), "ref_key", "ts", "d", "made") for t, (_, f, k) in targets.items()])
 
     keys = ["ref_table", "ref_key"]
-    none = F.lit(None).cast(long.schema["id"].dataType)
-    flow = long.where("ts is not null").select(*keys, "ts", "id", F.lit(1).alias("n_refs"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("made"))
-    flow = flow.unionByName(steps.select(*keys, "ts", none.alias("id"), F.lit(0).alias("n_refs"), "d", "made"))
-    flow = flow.withColumn("bucket", F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")).repartition(*keys, "bucket")
-    # What the earlier buckets of a key add up to; then, inside a bucket, row by row with its equals.
+    flow = long.where("ts is not null").select(*keys, "ts", "id", F.lit(None).cast("bigint").alias("d"), F.lit(None).cast("bigint").alias("made"))
+    flow = flow.unionByName(steps.select(*keys, "ts", F.lit(None).cast(long.schema["id"].dataType).alias("id"), "d", "made"))
+    large = table(flow.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(*keys), "hot-keys")
+    every = Window.partitionBy(*keys).orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cold = flow.join(small(large), keys, "left_anti") if large.loom_rows else flow
+    run = cold.select(*keys, "ts", "id", F.col("d").isNull().alias("ref"), *[F.coalesce(F.sum(c).over(every), F.lit(0)).alias(c) for c in ("d", "made")])
+    if large.loom_rows:
+        run = run.unionByName(_by_hours(flow.join(small(large), keys, "left_semi"), keys))
+    dead = run.where("ref and d <= 0").select("id", *keys, "ts", (F.col("made") > 0).alias("made"))
+    dead = dead.unionByName(long.where("ts is null").select("id", *keys, "ts", F.lit(False).alias("made")))
+    reason = F.when(F.col("made"), "deleted").when(F.col("known"), "late").otherwise("missing")
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("ref_table").cast("int") + 1)
+    return dead.join(known, keys, "left").select(
+        F.col("id").alias(ref_id), name.alias("ref_table"), F.date_format("ts", "yyyy-MM").alias("period"), reason.alias("reason")).distinct()
+
+
+def _by_hours(flow: DataFrame, keys: list[str]) -> DataFrame:
+    """``flow`` with running counts, the hours of a key in different tasks."""
+    hour = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
+    flow = flow.withColumn("bucket", hour).repartition(*keys, "bucket")
     tops = flow.groupBy(*keys, "bucket").agg(F.sum("d").alias("d"), F.sum("made").alias("made"))
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select(*keys, "bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("d", "made")])
     inside = Window.partitionBy(*keys, "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = flow.select(*keys, "bucket", "ts", "id", "n_refs", *[F.sum(c).over(inside).alias(c) for c in ("d", "made")]).where("n_refs > 0")
-    run = run.join(tops.hint("merge"), [*keys, "bucket"]).where("d + d_before <= 0")
-    dead = run.select("id", *keys, "ts", (F.col("made") + F.col("made_before") > 0).alias("made"))
-    dead = dead.unionByName(long.where("ts is null").select("id", *keys, "ts", F.lit(False).alias("made")))
-    reason = F.when(F.col("made"), "deleted").when(F.col("known"), "late").otherwise("missing")
-    return dead.join(known, keys, "left").select(
-        F.col("id").alias(ref_id), name, F.date_format("ts", "yyyy-MM").alias("period"), reason.alias("reason")).distinct()
+    run = flow.select(*keys, "bucket", "ts", "id", F.col("d").isNull().alias("ref"), *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in ("d", "made")])
+    run = run.join(tops.hint("merge"), [*keys, "bucket"])
+    return run.select(*keys, "ts", "id", "ref", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in ("d", "made")])
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

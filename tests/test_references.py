@@ -7,10 +7,10 @@ TARGET = "k string, created_at timestamp, deleted_at timestamp, reason string"
 REFS = "id bigint, k string, at timestamp, period string"
 
 
-def orphans(spark, refs, target):
+def orphans(spark, refs, target, **more):
     r = spark.createDataFrame(refs, REFS)
     t = spark.createDataFrame(target, TARGET)
-    return {tuple(x) for x in orphan_references(r, "id", "at", {"t": ("k", t, "k")}).collect()}
+    return {tuple(x) for x in orphan_references(r, "id", "at", {"t": ("k", t, "k")}, **more).collect()}
 
 
 def test_reasons(spark):
@@ -41,3 +41,16 @@ def test_signed_state(spark):
     assert {tuple(r) for r in current_orphans(state).collect()} == {("t", "y", 1)}
     b = spark.createDataFrame([("t", "x", 0, -1), ("t", "y", -1, 0)], s)
     assert {tuple(r) for r in current_orphans(apply_changes(state, b)).collect()} == {("t", "x", 2)}
+
+
+def test_hot_keys_are_cut_by_hours(spark):
+    import random
+
+    rnd = random.Random(9)
+    at = lambda: dt(2031, 1, rnd.randrange(1, 4), rnd.randrange(24), rnd.randrange(3))
+    target = [(k, at(), at() if rnd.random() < 0.7 else None, None) for k in "abc" for _ in range(12)]
+    refs = [(i, rnd.choice("abcd"), at(), "") for i in range(400)]
+    got = orphans(spark, refs, target)
+    assert got and got == orphans(spark, refs, target, hot=90) == orphans(spark, refs, target, hot=1)
+    live = {(i, k, t) for i, k, t, _ in refs if any(k == x and c <= t and (d is None or d > t) for x, c, d, _ in target)}
+    assert {i for i, *_ in got} == {i for i, *_ in refs} - {i for i, *_ in live}
