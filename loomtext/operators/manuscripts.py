@@ -145,3 +145,19 @@ def package_problems(surfaces: DataFrame, regions: DataFrame, lines: DataFrame,
     m = layers.select("line_id", F.length("text").alias("len"), F.explode("marks").alias("m"))
     out = out.union(m.where("m.start < 0 or m.start > m.end or m.end > len").select(F.lit("mark span"), "line_id"))
     return out.union(missing_references(lines, anchors).select(F.lit("anchor names no line"), "anchor_id"))
+
+
+def citation(record: DataFrame) -> DataFrame:
+    """``record`` with ``citation``: '{institution}, {shelfmark}, {surface}, {line}; {layer}, {version}, {editor}[; annotation {id}]. {url}'.
+
+    Without a line the surface itself is cited; other fields that are null are left out with their comma.
+    """
+    place = F.concat_ws(", ", "institution", "shelfmark", "surface", F.coalesce("line", F.lit("surface")))
+    note = F.when(F.length("annotation_id") > 0, F.concat(F.lit("; annotation "), "annotation_id")).otherwise("")
+    return record.withColumn("citation", F.concat(place, F.lit("; "), F.concat_ws(", ", "layer", "version", "editor"), note, F.lit(". "), F.coalesce("url", F.lit(""))))
+
+
+def linked_anchors(lines: DataFrame, anchors: DataFrame) -> DataFrame:
+    """line_id, anchor_id of every anchor that names the line."""
+    a = anchors.select("anchor_id", F.explode("line_ids").alias("line_id")).distinct()
+    return lines.select("line_id").distinct().join(a, "line_id")

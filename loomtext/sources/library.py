@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,77 @@ def token_runs(spans: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFram
     problem = F.when(F.col("lo").isNull(), "empty").when(F.col("cuts"), "cuts a token").when(F.col("lo") <= F.col("prev") + 1, "skips no token")
     g = g.withColumn("problem", problem)
     return g.where("problem is null").select("unit_id", "key", "no", "lo", "hi"), g.where("problem is not null").select("unit_id", "no", "problem")
+
+
+#: An edit of a witness's text in an override file.
+OVERRIDES = (
+    "units array<struct<id:string,parentId:string,label:string,createdAt:string>>, "
+    "alignments array<struct<id:string,verse:int,level:string,status:string,targetTokenIds:map<string,array<string>>,createdAt:string>>, "
+    "sentenceEdits array<struct<id:string,passageId:string,sourceId:string,tokenIds:array<string>,selectedText:string,toUnitId:string,createdAt:string>>, "
+    "sectionEdits array<struct<id:string,unitId:string,passageId:string,number:string,label:string,order:double,level:string,note:string,targetTexts:map<string,string>,targetTextsVersion:int,deleted:boolean,createdAt:string>>, "
+    "textEdits array<struct<id:string,passageId:string,sourceId:string,text:string,note:string,updatedAt:string>>, "
+    "lexiconEntries array<struct<id:string,sourceId:string,tokenId:string,surface:string,lemma:string,gloss:string,updatedAt:string>>, "
+    "syntaxAnnotations array<struct<id:string,sourceId:string,passageId:string,sentenceId:string,note:string,updatedAt:string>>"
+)
+
+
+def read_overrides(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Published editorial data of an override file, one frame per collection with ``seq``, the place in the file.
+
+    A collection the file lacks is empty; a file that is no JSON object gives empty collections.
+    """
+    root = spark.read.schema(OVERRIDES).json(path, multiLine=True)
+    return {f.name: root.select(F.posexplode(f.name).alias("seq", "_v")).select("seq", "_v.*") for f in root.schema.fields}
+
+
+def save_drafts(drafts: dict[str, DataFrame], path: str) -> None:
+    """Write local drafts, one folder per collection; a save replaces the one before as a whole."""
+    for name, d in drafts.items():
+        d.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_drafts(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Local drafts as saved; a collection that was never saved is empty."""
+    jvm = spark._jvm
+    out = {}
+    for name, ddl in schemas.items():
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        out[name] = spark.read.schema(ddl).parquet(f"{path}/{name}") if there else spark.createDataFrame([], ddl)
+    return out
+
+
+def clause_mappings(texts: DataFrame, clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings, problems) of clauses given by the words they start with.
+
+    ``texts``: source, passage, text; ``clauses``: source, passage, ord, units (list), marker, end_marker (null: up to the next
+    clause).  A marker must stand once, blanks apart, and clauses rise.  Mappings: source, passage, unit, start_pos,
+    end_pos (blanks at the end left out), group_id where several units share the clause.  A passage with a problem has
+    no mapping: 'no text', 'not found', 'not unique', 'order', 'no end'.
+    """
+    k = ["source", "passage"]
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    j = clauses.join(texts, k, "left").withColumn("_m", bare(F.col("marker"))).withColumn("_b", bare(F.col("text")))
+    n = F.when(F.length("_m") > 0, (F.length("_b") - F.length(F.replace(F.col("_b"), F.col("_m"), F.lit("")))) / F.length("_m")).otherwise(0)
+
+    def place(marker: str, behind: bool) -> Column:
+        """Place in the text of the marker's first (or last) character: blanks are counted in again."""
+        at = F.expr(f"locate({marker}, _b)") + (F.length(marker) - 1 if behind else 0)
+        # The n-th character that is no blank: cut the text at its blanks and count.
+        lens = F.transform(F.split("text", ""), lambda c: F.when(c.rlike(r"^\s$"), 0).otherwise(1))
+        spots = F.filter(F.transform(lens, lambda x, i: F.when(x == 1, i)), lambda i: i.isNotNull())
+        return F.get(spots, (at - 1).cast("int")) + (1 if behind else 0)
+
+    j = j.withColumn("_n", n).withColumn("start_pos", F.when(F.col("_n") == 1, place("_m", False)))
+    w = Window.partitionBy(*k).orderBy("ord")
+    j = j.withColumn("_next", F.lead("start_pos").over(w)).withColumn("_prev", F.max("start_pos").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    j = j.withColumn("_e", bare(F.col("end_marker"))).withColumn("_end", F.when(F.col("_e").isNotNull(), F.when(F.expr("locate(_e, _b)") > 0, place("_e", False))).otherwise(F.coalesce("_next", F.length("text"))))
+    problem = (F.when(F.col("text").isNull(), "no text").when(F.col("_n") == 0, "not found").when(F.col("_n") > 1, "not unique").when(F.col("start_pos") <= F.col("_prev"), "order")
+               .when(F.col("_end").isNull() | (F.col("_end") <= F.col("start_pos")), "no end"))
+    j = j.withColumn("problem", problem)
+    bad = j.where("problem is not null")
+    ok = j.join(bad.select(*k).distinct(), k, "left_anti")
+    cut = F.expr("substring(text, start_pos + 1, _end - start_pos)")
+    ok = ok.withColumn("end_pos", F.col("start_pos") + F.length(F.regexp_replace(cut, r"\s+$", "")))
+    group = F.when(F.size("units") > 1, F.concat_ws("-", *k, "ord"))
+    return ok.select(*k, F.explode("units").alias("unit"), "start_pos", "end_pos", group.alias("group_id")), bad.select(*k, "ord", "problem")
