@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -216,6 +217,15 @@ def without_labels(text: Column, speakers: tuple[str, ...] = SPEAKERS) -> Column
     return squeeze(F.regexp_replace(text, rf"(?i)\[(?:{names}|\d+[a-d]*)[:.]?\]", " "))
 
 
+@lru_cache(1)
+def compatible() -> tuple[str, str]:
+    """Characters whose compatibility form is one other character, and these forms, by rule (for ``translate``)."""
+    every = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if not 0xD800 <= ord(c) < 0xE000]
+    pairs = [(c, unicodedata.normalize("NFKC", c)) for c in every]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b and b != "'" and unicodedata.normalize("NFC", a) != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def loose_pattern(marker: str) -> str:
     """Regular expression for a marker in which white space does not matter."""
     return r"\s*".join(re.escape(c) for c in marker if not c.isspace())

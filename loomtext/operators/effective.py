@@ -7,12 +7,16 @@ of rows.  Edits arrive as frames in the order of ``seq``.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from loomtext.functions.text import canonical_unit, composed_udf, token_spans_udf
+from loomtext.functions.text import canonical_unit, token_spans_udf
 from loomtext.operators.tokens import reanchor_texts
+from loomtext.session import table
 
 KEY = ["passage", "source"]
 _IDS = "array<string>"
@@ -22,11 +26,6 @@ def _ids(c: str | Column) -> Column:
     return F.coalesce(c if isinstance(c, Column) else F.col(c), F.array().cast(_IDS))
 
 
-def _composed(words: Column) -> Column:
-    """A list of words, each in composed form."""
-    return F.when(F.size(words) > 0, F.split(composed_udf(F.array_join(words, "\u0001")), "\u0001")).otherwise(F.array().cast(_IDS))
-
-
 def witnesses(texts: DataFrame) -> DataFrame:
     """passage, source, text, tokens (id, surface, start_pos, end_pos, label) of ``texts`` (passage, source, text).
 
@@ -75,17 +74,26 @@ def exact_spans(wanted: DataFrame, effective: DataFrame) -> DataFrame:
     Words are compared in composed form; number labels on either side are passed over, but labels inside the
     place belong to it.  No place, several places, no wording and unknown witnesses give an empty list.
     """
-    forms = lambda spans: F.transform(F.filter(spans, lambda t: ~t.label), lambda t: t.surface)
-    w = wanted.withColumn("_needle", _composed(forms(token_spans_udf("wanted"))))
-    plain = F.filter("tokens", lambda t: ~t.label)
-    e = effective.select(*KEY, "tokens", plain.alias("_plain")).withColumn("_forms", _composed(F.transform("_plain", lambda t: t.surface)))
-    j = w.join(e, KEY, "left")
-    k = F.size("_needle")
-    at = F.when((k > 0) & (F.size("_forms") >= k), F.filter(F.sequence(F.lit(1), F.size("_forms") - k + 1), lambda i: F.slice("_forms", i, k) == F.col("_needle")))
-    j = j.withColumn("_at", at)
-    a, b = F.element_at("_plain", F.col("_at")[0]).start_pos, F.element_at("_plain", (F.col("_at")[0] + k - 1).cast("int")).end_pos
+    words = lambda spans: F.transform(F.filter(spans, lambda t: ~t.label), lambda t: t.surface)
+    w = wanted.withColumn("_needle", words(token_spans_udf("wanted")))
+    e = effective.select(*KEY, "tokens", F.filter("tokens", lambda t: ~t.label).alias("_plain"))
+    j = w.join(e, KEY, "left").withColumn("_at", _only_place("_needle", F.transform("_plain", lambda t: t.surface)))
+    a, b = F.get("_plain", F.col("_at")).start_pos, F.get("_plain", F.col("_at") + F.size("_needle") - 1).end_pos
     ids = F.transform(F.filter("tokens", lambda t: (t.start_pos >= a) & (t.end_pos <= b)), lambda t: t.id)
-    return j.withColumn("token_ids", F.when(F.size("_at") == 1, ids).otherwise(F.array().cast(_IDS))).drop("_needle", "_plain", "_forms", "_at", "tokens")
+    return j.withColumn("token_ids", F.when(F.col("_at").isNotNull(), ids).otherwise(F.array().cast(_IDS))).drop("_needle", "_plain", "_at", "tokens")
+
+
+@F.pandas_udf(IntegerType())
+def _only_place(needle: pd.Series, words: pd.Series) -> pd.Series:
+    """Place of the only occurrence of ``needle`` in ``words`` (composed forms); none if there is none or a second."""
+    def place(n, w):
+        if n is None or w is None or not len(n) or len(n) > len(w):
+            return None
+        text, part = ("\1" + unicodedata.normalize("NFC", "\1".join(x)) + "\1" for x in (w, n))
+        at = text.find(part)
+        return text.count("\1", 0, at) if at >= 0 and text.find(part, at + 1) < 0 else None
+
+    return pd.Series([place(n, w) for n, w in zip(needle, words)], dtype="Int32")
 
 
 def reanchor_alignments(targets: DataFrame, effective: DataFrame, from_corpus: bool) -> DataFrame:
@@ -140,6 +148,7 @@ def effective_units(units: DataFrame, targets: DataFrame, effective: DataFrame,
         return d.withColumn(c, F.when(F.col("_known").isNull(), canonical_unit(F.col(c))).otherwise(F.col(c))).drop("_known")
 
     t = reanchor_alignments(targets.select("passage", "unit_id", "source", _ids("token_ids").alias("token_ids"), "text"), effective, from_corpus=False)
+    t = table(t, "anchored")
     anchored = t.select("passage", "source", "unit_id", F.explode("token_ids").alias("token_id"))
 
     # Moves: the last one of every token.
@@ -147,30 +156,33 @@ def effective_units(units: DataFrame, targets: DataFrame, effective: DataFrame,
     mv = exact_spans(mv.select("passage", "source", "unit_id", "seq", _ids("token_ids").alias("_given"), F.col("selected_text").alias("wanted")), effective)
     mv = mv.join(effective.select(*KEY, "edited"), KEY, "left")
     mv = mv.select(*KEY, "unit_id", "seq", F.explode(F.when(F.coalesce("edited", F.lit(False)), F.col("token_ids")).otherwise(F.col("_given"))).alias("token_id"))
-    mv = mv.groupBy(*KEY, "token_id").agg(F.max_by("unit_id", "seq").alias("to_unit"))
+    mv = table(mv.groupBy(*KEY, "token_id").agg(F.max_by("unit_id", "seq").alias("to_unit")), "moves")
     own = anchored.join(mv, [*KEY, "token_id"], "full")
     moved = F.col("to_unit").isNotNull()
     touched = own.where(moved & ~F.col("unit_id").eqNullSafe(F.col("to_unit"))).select("passage", F.explode(F.array("unit_id", "to_unit")).alias("unit_id")).where("unit_id is not null").distinct()
+    touched = table(touched, "touched")
     own = own.select(*KEY, F.coalesce("to_unit", "unit_id").alias("unit_id"), "token_id").distinct()
 
     # Section edits.
     sec = canonical(sections, "unit_id").where("unit_id is not null")
     rest = [c for c in sec.columns if c not in ("passage", "unit_id")]
     sec = sec.groupBy("passage", "unit_id").agg(F.max_by(F.struct(*rest), "seq").alias("e")).select("passage", "unit_id", "e.*")
+    sec = table(sec, "sections")
     hidden = sec.where("deleted").select("passage", "unit_id")
     live = sec.where("not coalesce(deleted, false)")
     lit = section_texts(live)
     found = exact_spans(lit.select(*KEY, "unit_id", F.col("literal").alias("wanted"), "literal"), effective).where(F.size("token_ids") > 0)
+    found = table(found.select(*KEY, "unit_id", "token_ids"), "literal-places")
     hit = found.select(*KEY, "unit_id")
     own = own.join(hit, [*KEY, "unit_id"], "left_anti").unionByName(found.select(*KEY, "unit_id", F.explode("token_ids").alias("token_id")))
-    own = own.join(hidden, ["passage", "unit_id"], "left_anti")
+    own = table(own.join(hidden, ["passage", "unit_id"], "left_anti"), "owned")
 
     # Orphans of old blanks.
     blank = live.where("coalesce(version, 0) <> 1").select("passage", "unit_id", "seq", F.explode("target_texts").alias("source", "literal")).where("trim(coalesce(literal, '')) = ''")
     blank = blank.join(own.select(*KEY, "unit_id").distinct(), [*KEY, "unit_id"], "left_anti").join(anchored, [*KEY, "unit_id"])
     taken = own.select(*KEY, "token_id").distinct().withColumn("_taken", F.lit(True))
     claims = blank.join(taken, [*KEY, "token_id"], "left").groupBy(*KEY, "unit_id", "seq").agg(F.collect_list("token_id").alias("token_ids"), F.max("_taken").alias("_taken")).where("_taken is null")
-    own = own.unionByName(_first_claims(claims))
+    own = table(own.unionByName(_first_claims(claims)), "owned")
 
     fields = live.select("passage", "unit_id", *[F.col(c).alias("_" + c) for c in ("number", "label", "ord", "level", "note")], F.lit(True).alias("literal"))
     u = units.join(fields, ["passage", "unit_id"], "full").join(touched.withColumn("_touched", F.lit(True)), ["passage", "unit_id"], "left").join(hidden, ["passage", "unit_id"], "left_anti")
@@ -185,6 +197,7 @@ def effective_units(units: DataFrame, targets: DataFrame, effective: DataFrame,
         F.coalesce(filled("level"), F.lit("sentence")).alias("level"), F.when(section, F.coalesce("_note", "note", F.lit(""))).otherwise(F.col("note")).alias("note"),
         F.when(section, "editorial-section").when(F.col("_touched"), "editorial-boundary").otherwise(F.col("status")).alias("status"), section.alias("literal"))
     g = own.groupBy(*KEY, "unit_id").agg(F.collect_set("token_id").alias("token_ids"))
+    u = table(u, "units")
     g = g.join(lit.select(*KEY, "unit_id", "literal"), [*KEY, "unit_id"], "full").join(u.select("passage", "unit_id"), ["passage", "unit_id"], "left_semi")
     g = g.join(effective.select(*KEY, F.col("text").alias("_text"), "tokens"), KEY, "left")
     order = F.transform("tokens", lambda x: x.id)
@@ -294,7 +307,7 @@ def phrase_alignments(alignments: DataFrame, targets: DataFrame, base: DataFrame
     human = a.where(~F.col("status").eqNullSafe(F.lit(provider)) & (F.col("level") == "sentence")).select("passage", "unit_id")
     ht = pv(targets).join(human, ["passage", "unit_id"], "left_semi").select("passage", "token_id").distinct()
     beaten = pv(targets).join(a.where(F.col("status") == provider).select("passage", "unit_id"), ["passage", "unit_id"], "left_semi").join(ht, ["passage", "token_id"], "left_semi").select("passage", "unit_id").distinct()
-    a = a.join(beaten, ["passage", "unit_id"], "left_anti")
+    a = table(a.join(beaten, ["passage", "unit_id"], "left_anti"), "alignments")
 
     sec = sections.withColumn("unit_id", canonical_unit(F.col("unit_id")))
     rest = [c for c in sec.columns if c not in ("passage", "unit_id")]
@@ -317,7 +330,8 @@ def phrase_alignments(alignments: DataFrame, targets: DataFrame, base: DataFrame
     shown = o.select(*fields, "policy").unionByName(base.join(is_base, ["passage", "unit_id"], "left_semi").select(*fields, none.alias("policy")))
     tcols = ["passage", "unit_id", "source", "token_ids", "text", "literal"]
     st = ot.select(*tcols).unionByName(base_targets.join(is_base, ["passage", "unit_id"], "left_semi").select(*tcols))
-    st = fill_targets(shown, st, base, base_targets, pivot)
+    shown, st = table(shown, "shown"), table(st, "shown-targets")
+    st = table(fill_targets(shown, st, base, base_targets, pivot), "filled")
 
     sentences = shown.where("level = 'sentence'").select("passage", "unit_id")
     held = pv(st).join(sentences, ["passage", "unit_id"], "left_semi").select("passage", "token_id").distinct()

@@ -56,8 +56,8 @@ def search_documents(s, d):
 
 
 def library_language_filter(s, d):
-    row = F.lower(F.to_json(F.struct("doc_id", "lang", "doc_kind")))
-    return _docs(s, d, "doc_id", "lang", "doc_kind").where((F.col("lang") == "de") & row.contains("cata")).select("doc_id", "doc_kind")
+    row = F.lower(F.to_json(F.struct("*")))
+    return _docs(s, d).where((F.col("lang") == "de") & row.contains("cata")).select("doc_id", "doc_kind")
 
 
 def corpus_summary(s, d):
@@ -94,7 +94,7 @@ def lexicon_forms(s, d):
 
 
 def _lex_tokens(s, d):
-    t = tokens.token_offsets(_docs(s, d, "doc_id", "lang", "text").where("lang in ('en', 'de')"), "doc_id", "text", "lang")
+    t = tokens.token_offsets(_docs(s, d, "doc_id", "lang", "text"), "doc_id", "text", "lang")
     return t.select("doc_id", "lang", "idx", "norm")
 
 
@@ -228,9 +228,7 @@ def lcs_root_tokens(s, d):
 
 def reanchor_tokens(s, d):
     e = _editions(s, d).select("doc_id", F.transform("a_tokens", F.lower).alias("a"), F.transform("b_tokens", F.lower).alias("b"))
-    old = e.select("doc_id", F.posexplode("a").alias("idx", "norm"))
-    new = e.select("doc_id", F.posexplode("b").alias("idx", "norm"))
-    return tokens.unique_context_pairs(old, new, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("new_idx").cast("bigint")).alias("new_sum"))
+    return tokens.context_pairs(e.select("doc_id", F.col("a").alias("before"), F.col("b").alias("after")), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("new_idx").cast("bigint")).alias("new_sum"))
 
 
 def fold_search(s, d):
@@ -251,7 +249,8 @@ def line_search(s, d):
 
 def conllu_export(s, d):
     a = read(s, d, "alignments", "unit_id", "unit_status", "targets").where("unit_status = 'reviewed'").dropDuplicates(["unit_id"])
-    t = a.select("unit_id", F.explode("targets").alias("witness", "text")).where("witness like 'eng%' and text is not null")
+    t = a.select("unit_id", F.explode("targets").alias("witness", "text")).where("text is not null")
+    t = t.select(F.concat_ws("/", "unit_id", "witness").alias("unit_id"), "text")
     k = t.select("unit_id", "text", F.posexplode(T.tokens(F.col("text"))).alias("idx", "form"))
     k = k.select("unit_id", "text", "idx", "form", F.lower("form").alias("lemma"), F.lit(None).cast("string").alias("upos"), F.format_string("%s-t%05d", "unit_id", F.col("idx") + 1).alias("token_id"))
     return conllu.to_conllu(k, "unit_id", "text")
@@ -284,8 +283,12 @@ def revised_lines(s, d):
 
 def passage_next_start(s, d):
     f = read(s, d, "text_selections", "selection_id", "block_id", "start_pos", "end_pos").where("block_id is not null and start_pos is not null").distinct()
-    w = Window.partitionBy("block_id").orderBy("start_pos", "selection_id")
-    g = f.withColumn("next_start", F.lead("start_pos").over(w))
+    # Buckets of positions: the next start of a bucket's last row is the first start of the next bucket.
+    f = f.withColumn("b", F.floor(F.col("start_pos") / 4096))
+    w = Window.partitionBy("block_id", "b").orderBy("start_pos", "selection_id")
+    tops = f.groupBy("block_id", "b").agg(F.min("start_pos").alias("first"))
+    tops = tops.select("block_id", "b", F.lead("first").over(Window.partitionBy("block_id").orderBy("b")).alias("later"))
+    g = f.withColumn("own", F.lead("start_pos").over(w)).join(tops, ["block_id", "b"]).withColumn("next_start", F.coalesce("own", "later"))
     return g.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("next_start").cast("bigint")).alias("next_sum"))
 
 
@@ -307,6 +310,8 @@ _TOK = T.TOKEN.replace("'", "''")
 _PIECE = T.PIECE.replace("'", "''")
 _MS = T.MS_TOKEN.replace("'", "''")
 _T = f"t as (select *, unnest(regexp_extract_all(text, '{_TOK}')) as surface from documents where text is not null), k as (select *, lower(surface) as norm from t)"
+_FROM, _TO = T.compatible()
+_F = f"{_T}, fs as (select surface, trim(lower(nfc_normalize(case when regexp_matches(surface, '[{_FROM}]') then translate(surface, '{_FROM}', '{_TO}') else surface end))) as form from (select distinct surface from k)), f as (select * from k join fs using (surface))"
 _O = (
     f"p as (select doc_id, lang, text, unnest(regexp_extract_all(text, '{_PIECE}')) as surface, generate_subscripts(regexp_extract_all(text, '{_PIECE}'), 1) as pos from documents where text is not null),"
     " q as (select *, sum(length(surface)) over (partition by doc_id order by pos) as end_pos from p),"
@@ -323,7 +328,7 @@ _LEX = (
 )
 _MATCH = (
     f"with {_O}, {_LEX}, parts as (select entry_id, form, form_ord, [x for x in regexp_split_to_array(lower(form), '\\s+') if x <> ''] as ps from forms),"
-    " tk as (select doc_id, lang, idx, norm from o where lang in ('en', 'de')),"
+    " tk as (select doc_id, lang, idx, norm from o),"
     " e as (select entry_id, form_ord, len(ps) as n, unnest(ps) as part, generate_subscripts(ps, 1) - 1 as k from parts where len(ps) > 0),"
     " c as (select tk.doc_id, tk.idx - e.k as start_idx, e.entry_id, e.form_ord, e.n, count(*) as got from tk join e on tk.norm = e.part group by all having count(*) = e.n),"
     " h as (select doc_id, start_idx, entry_id, form_ord, n, unnest(generate_series(start_idx, start_idx + n - 1)) as idx from c),"
@@ -331,7 +336,8 @@ _MATCH = (
 )
 
 SQL = {
-    "token_frequency": f"with {_T} select norm as form, count(*) as n, count(distinct passage_id) as n_passages from k group by norm",
+    "token_frequency": f"with {_F} select form, count(*) as n, count(distinct passage_id) as n_passages, arg_min(surface, (passage_id is not null, coalesce(passage_id, ''), surface)) as surface,"
+        " case when bool_or(passage_id is null) then null else min(passage_id) end as first_passage from f where form <> '' group by form",
     "token_offsets": f"with {_O} select doc_id, idx, surface, start_pos, end_pos from o",
     "kwic_concordance": f"with {_O} select doc_id, idx, start_pos, case when start_pos > 72 then '…' else '' end || substr(text, greatest(start_pos - 72, 0) + 1, start_pos - greatest(start_pos - 72, 0)) as left_context, surface,"
         f" substr(text, end_pos + 1, 100) || case when end_pos + 100 < length(text) then '…' else '' end as right_context from o where norm = '{QUERY_TERM}' order by doc_id, idx limit 120",
@@ -343,7 +349,7 @@ SQL = {
     "top_forms_per_source": f"with {_T}, c as (select source, norm as form, count(*) as n from k group by all) select source, form, n, row_number() over (partition by source order by n desc, form) as rank from c qualify rank <= 20",
     "forms_shared_across_langs": f"with {_T} select norm as form, count(distinct lang) as langs from k where lang is not null group by norm having count(distinct lang) > 1",
     "search_documents": f"select doc_id, source, length(text) as n_chars from documents where contains(lower(text), '{QUERY_TERM}')",
-    "library_language_filter": "select doc_id, doc_kind from documents where lang = 'de' and contains(lower(doc_kind), 'cata')",
+    "library_language_filter": "select doc_id, doc_kind from documents where lang = 'de' and (contains(lower(coalesce(doc_kind, '')), 'cata') or contains(lower(coalesce(text, '')), 'cata') or contains(lower(coalesce(source, '')), 'cata') or contains(lower(coalesce(passage_id, '')), 'cata'))",
     "corpus_summary": f"with {_T}, {_UNITS} select 'documents' as what, count(*) as n from documents union all select 'reviewed units', count(*) from u where unit_status = 'reviewed'"
         " union all select 'unassigned units', count(*) from u where unit_status = 'unassigned' union all select 'tokens', count(*) from k",
     "documents_per_source": "select source, count(*) as docs, count(distinct lang) as langs, cast(sum(n_chars) as bigint) as chars from documents group by source",
@@ -385,10 +391,10 @@ SQL = {
         " select a_id, b_id, round(score, 6) as score, round(score - coalesce(second, 0), 6) as margin, score >= 0.8 and score - coalesce(second, 0) >= 0.08 as accepted from r where rank = 1",
     "line_terms": f"with l as (select distinct line_id, text from opening_lines where text is not null), t as (select line_id, unnest(regexp_extract_all(lower(text), '{_MS}')) as term from l) select term, count(*) as n, count(distinct line_id) as lines from t group by term",
     "line_search": f"select distinct reading_id, review_status as status from checked_readings where reading_layer = 'checked' and contains(lower(text), '{QUERY_TERM}')",
-    "conllu_export": f"with {_UT}, e as (select unit_id, text from ut where unit_status = 'reviewed' and witness like 'eng%' and text is not null),"
+    "conllu_export": f"with {_UT}, e as (select unit_id || '/' || witness as unit_id, text from ut where unit_status = 'reviewed' and text is not null),"
         f" k as (select unit_id, text, unnest(regexp_extract_all(text, '{_TOK}')) as form, generate_subscripts(regexp_extract_all(text, '{_TOK}'), 1) as i from e)"
         r" select unit_id, '# sent_id = ' || unit_id || chr(10) || '# text = ' || regexp_replace(any_value(text), '[ \t\n\r\f\x0B]+', ' ', 'g') || chr(10) || string_agg(i || chr(9) || form || chr(9) || lower(form) || chr(9) || '_' || chr(9) || '_' || chr(9) || '_' || chr(9) || '_' || chr(9) || '_' || chr(9) || '_' || chr(9) || 'TokenId=' || unit_id || '-t' || lpad(cast(i as varchar), 5, '0'), chr(10) order by i) || chr(10) as conllu from k group by unit_id",
-    "conllu_round_trip": f"with {_UT}, e as (select unit_id, text from ut where unit_status = 'reviewed' and witness like 'eng%' and text is not null),"
+    "conllu_round_trip": f"with {_UT}, e as (select unit_id || '/' || witness as unit_id, text from ut where unit_status = 'reviewed' and text is not null),"
         f" k as (select unit_id, unnest(regexp_extract_all(text, '{_TOK}')) as form, generate_subscripts(regexp_extract_all(text, '{_TOK}'), 1) as i from e)"
         " select unit_id, cast(i as varchar) as id, form, 'TokenId=' || unit_id || '-t' || lpad(cast(i as varchar), 5, '0') as misc from k",
     "tei_export": "with l as (select regexp_extract(line_id, '^(.*)-l', 1) as surface, cast(regexp_extract(line_id, '-l(\\d+)$', 1) as int) as n, min(text) as text from opening_lines where text is not null group by all)"

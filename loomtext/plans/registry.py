@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomtext.plans import core, corpus, editing, units
+from loomtext.plans import core, corpus, editing, units, workbench
 
-MODULES = (core, corpus, units, editing)
+MODULES = (core, corpus, units, editing, workbench)
 
 
 def queries() -> dict:

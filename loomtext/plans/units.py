@@ -49,7 +49,7 @@ def unique_plan_phrases(s, d):
 
 
 def danda_sentence_spans(s, d):
-    return units.danda_sentences(read(s, d, "documents", "doc_id", "lang", "text").where("lang in ('bo', 'hi')"), "doc_id", "text").select("doc_id", "start_pos", "end_pos")
+    return units.danda_sentences(read(s, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", "start_pos", "end_pos")
 
 
 def label_token_counts(s, d):
@@ -76,11 +76,11 @@ def status_labels(s, d):
 
 
 def morphology_table(s, d):
-    t = _targets(s, d).where("unit_status = 'reviewed' and witness like 'eng%'").select("unit_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "form"))
+    t = _targets(s, d).where("unit_status = 'reviewed'").select("unit_id", "witness", F.posexplode(T.tokens(F.col("text"))).alias("pos", "form"))
     lx = lexicon.entry_forms(read(s, d, "lexicon", "entry_id", "lemma", "forms")).select("entry_id", F.lower("form").alias("norm"))
     first = lx.groupBy("norm").agg(F.min("entry_id").alias("entry_id")).join(read(s, d, "lexicon", "entry_id", "lemma", "part_of_speech", "gloss"), "entry_id")
     j = t.withColumn("norm", F.lower("form")).join(first, "norm", "left")
-    return j.select("unit_id", (F.col("pos") + 1).cast("bigint").alias("no"), "form", F.coalesce("lemma", F.lit("_")).alias("lemma"), F.coalesce("part_of_speech", F.lit("_")).alias("upos"), F.coalesce("gloss", F.lit("_")).alias("gloss"))
+    return j.select("unit_id", "witness", (F.col("pos") + 1).cast("bigint").alias("no"), "form", F.coalesce("lemma", F.lit("_")).alias("lemma"), F.coalesce("part_of_speech", F.lit("_")).alias("upos"), F.coalesce("gloss", F.lit("_")).alias("gloss"))
 
 
 def token_range_selection(s, d):
@@ -132,7 +132,7 @@ def unit_context_groups(s, d):
 
 
 def clause_chunks(s, d):
-    return units.chunk_runs(units.gaps_after(read(s, d, "documents", "doc_id", "lang", "text").where("lang = 'de'"), "doc_id", "text"), "doc_id")
+    return units.chunk_runs(units.gaps_after(read(s, d, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id")
 
 
 def unit_positions(s, d):
@@ -247,6 +247,7 @@ _U = (
 )
 _TOK = T.TOKEN.replace("'", "''")
 _PIECE = T.PIECE.replace("'", "''")
+_FROM, _TO = T.compatible()
 SQL = {
     "unit_target_ranges": f"with {_U} select unit_id, witness, n_tokens, coalesce(lo, -1) as lo, coalesce(hi, -1) as hi from n",
     "target_problems": f"with {_U}, p as (select unit_id, witness, case when len(list_distinct(token_ids)) < n_tokens then 'repeated' when hi - lo + 1 <> n_tokens then 'not contiguous' end as problem from n where n_tokens > 0) select * from p where problem is not null",
@@ -258,12 +259,12 @@ SQL = {
         " p as (select distinct bitext_id, witness, trim(regexp_replace(i[2], '\\s+', ' ', 'g')) as phrase from i), x as (select distinct bitext_id, witness, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from t where unit_status = 'unassigned')"
         " select bitext_id, witness, phrase from x join p using (bitext_id, witness) where phrase <> '' and contains(text, phrase) group by all having sum((length(text) - length(replace(text, phrase, ''))) // length(phrase)) = 1",
     "label_token_counts": "with r as (select distinct reading_id, text from checked_readings where text is not null) select reading_id, len(regexp_extract_all(text, '(?m)^[ \\t]*\\d+(?:\\.\\d+)+\\.[ \\t]+')) as n_labels from r where n_labels > 0",
-    "filtered_frequency": f"with x as (select passage_id, lower(unnest(regexp_extract_all(text, '{_TOK}'))) as form from documents) select form, count(*) as n, count(distinct passage_id) as n_passages from x where contains(form, 'ma') group by form order by n desc, form limit 80",
+    "filtered_frequency": f"with y as (select passage_id, unnest(regexp_extract_all(text, '{_TOK}')) as surface from documents), fs as (select surface, trim(lower(nfc_normalize(case when regexp_matches(surface, '[{_FROM}]') then translate(surface, '{_FROM}', '{_TO}') else surface end))) as form from (select distinct surface from y)), x as (select * from y join fs using (surface)) select form, count(*) as n, count(distinct passage_id) as n_passages, arg_min(surface, (passage_id is not null, coalesce(passage_id, ''), surface)) as surface, case when bool_or(passage_id is null) then null else min(passage_id) end as first_passage from x where contains(form, 'ma') group by form order by n desc, form limit 80",
     "witness_availability": "select source, passage_id, case when sum(coalesce(length(text), 0)) > 0 then 'available' when count(text) > 0 then 'empty' else 'missing' end as coverage from documents where passage_id is not null group by all",
     "status_labels": f"with {_U} select case when unit_status = 'reviewed' then 'reviewed' when confidence = 'high' then 'suggested' when confidence is null then 'unrated' else 'candidate' end as label, count(*) as n from u group by 1",
     "morphology_table": f"with {_U}, f as (select entry_id, lower(unnest(list_concat(case when lemma is null or contains(lemma, '/') then [] else [lemma] end, coalesce(forms, [])))) as norm from lexicon), b as (select norm, min(entry_id) as entry_id from f group by norm),"
-        f" x as (select unit_id, unnest(regexp_extract_all(text, '{_TOK}')) as form, generate_subscripts(regexp_extract_all(text, '{_TOK}'), 1) as no from t where unit_status = 'reviewed' and witness like 'eng%')"
-        " select unit_id, no, form, coalesce(lemma, '_') as lemma, coalesce(part_of_speech, '_') as upos, coalesce(gloss, '_') as gloss from x left join b on b.norm = lower(form) left join lexicon l on l.entry_id = b.entry_id",
+        f" x as (select unit_id, witness, unnest(regexp_extract_all(text, '{_TOK}')) as form, generate_subscripts(regexp_extract_all(text, '{_TOK}'), 1) as no from t where unit_status = 'reviewed')"
+        " select unit_id, witness, no, form, coalesce(lemma, '_') as lemma, coalesce(part_of_speech, '_') as upos, coalesce(gloss, '_') as gloss from x left join b on b.norm = lower(form) left join lexicon l on l.entry_id = b.entry_id",
     "token_range_selection": f"with {_U} select unit_id, witness, token_id from k where idx between 2 and 5",
     "reading_list": f"with {_U} select passage_id, count(*) filter (unit_status = 'reviewed') as sentences, count(*) as cells from t where length(text) > 0 group by passage_id",
     "correspondence_frame": f"with {_U} select k.token_id, t.witness as to_witness, min(t.text) as text from k join t on t.unit_id = k.unit_id and t.witness <> k.witness where k.unit_status = 'reviewed' group by all",
