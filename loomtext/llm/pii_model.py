@@ -30,11 +30,16 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def gate_keys(c: np.ndarray) -> np.ndarray:
-    """Hash of the trigram that begins at each character."""
+def gate_keys(c: np.ndarray, doc_end: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the trigram that begins at each character; behind a text's end there is nothing."""
     c = c.astype(np.uint32)
     p = np.concatenate([c, np.zeros(2, np.uint32)])
-    h = p[:-2] * np.uint32(2654435761) ^ (p[1:-1] * np.uint32(2246822519)) ^ (p[2:] * np.uint32(3266489917))
+    one, two = p[1:-1].copy(), p[2:].copy()
+    if doc_end is not None:
+        ends = doc_end[doc_end > 0]
+        one[ends - 1] = two[ends - 1] = 0
+        two[np.maximum(ends - 2, 0)] = 0
+    h = c * np.uint32(2654435761) ^ (one * np.uint32(2246822519)) ^ (two * np.uint32(3266489917))
     return (h ^ (h >> np.uint32(15))) >> np.uint32(32 - GATE_BITS)
 
 
@@ -67,15 +72,18 @@ class Tagger:
 
     def regions(self, c: np.ndarray, doc_end: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of concatenated texts that pass the gate, cut at the ends of texts."""
-        odds = self.gate[gate_keys(c)]
-        s = np.concatenate(([0], np.cumsum(odds, dtype=np.float64)))
+        size = np.diff(doc_end, prepend=0)
+        last, first = np.repeat(doc_end, size), np.repeat(doc_end - size, size)
+        s = np.concatenate(([0], np.cumsum(self.gate[gate_keys(c, doc_end)], dtype=np.float64)))
         n = len(c)
-        k = min(GATE_WIDTH, n)
-        mean = (s[k:] - s[:-k]) / k
-        hot = np.flatnonzero(mean >= GATE_LEAST)
+        at = np.arange(n)
+        to = np.minimum(at + GATE_WIDTH, last)
+        # A window stands inside one text, or is the whole of a text shorter than it.
+        whole = (to - at == GATE_WIDTH) | (at == first)
+        hot = np.flatnonzero(whole & ((s[to] - s[at]) >= GATE_LEAST * (to - at)))
         d = np.zeros(n + 1, np.int32)
-        np.add.at(d, np.maximum(hot - GATE_CONTEXT, 0), 1)
-        np.add.at(d, np.minimum(hot + k + GATE_CONTEXT, n), -1)
+        np.add.at(d, np.maximum(hot - GATE_CONTEXT, first[hot]), 1)
+        np.add.at(d, np.minimum(to[hot] + GATE_CONTEXT, last[hot]), -1)
         on = np.cumsum(d[:-1]) > 0
         out = []
         for a, b in runs(on):
@@ -162,8 +170,8 @@ class Tagger:
                     y[live:] = back[s, np.arange(live, len(part)), y[live:]]
         return tags
 
-    def find(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """Spans (start, end, kind) of plain texts."""
+    def find(self, texts: list[str], gated: bool = True) -> list[list[tuple[int, int, str]]]:
+        """Spans (start, end, kind) of plain texts; without the gate the network reads all of every text."""
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if not texts:
             return out
@@ -171,7 +179,7 @@ class Tagger:
         if not len(c):
             return out
         end = np.cumsum([len(t) for t in texts])
-        places = self.regions(c, end)
+        places = self.regions(c, end) if gated else [(int(b - len(t)), int(b)) for t, b in zip(texts, end) if t]
         if not places:
             return out
         em = self.emissions(self.ids[c], places)

@@ -63,3 +63,11 @@ def test_settle():
     assert settle("tel. (555) 555-0117.", 6, 19, "phone") == (5, 19, "phone")
     assert settle("no digits", 0, 9, "phone") is None
     assert KINDS[0] == "email"
+
+
+def test_neighbours_and_the_gate_change_nothing():
+    tagger = Tagger()
+    texts = [TEXT, "", "x", TEXT[:200], "tel. 082/5550771-6", "a" * 9, TEXT[120:] + " Mr", TEXT[::-1]] * 2
+    alone = [tagger.find([t])[0] for t in texts]
+    assert tagger.find(texts) == alone == tagger.find(texts[::-1])[::-1]
+    assert len(tagger.find([TEXT], gated=False)[0]) == len(WANT)
