@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.operators.windows import running_before
+
 
 def span_tokens(spans: DataFrame, tokens: DataFrame, *keys: str) -> DataFrame:
     """Tokens that overlap a character span (t.start < end and t.end > start), per equal keys."""
@@ -13,15 +15,23 @@ def span_tokens(spans: DataFrame, tokens: DataFrame, *keys: str) -> DataFrame:
     return s.join(t, F.expr(on))
 
 
+#: Positions per bucket of a key's spans.
+WIDTH = 4096
+
+
 def overlap_components(spans: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """``spans`` with component number per key: spans that overlap, directly or through others.
 
-    ``lo`` and ``hi`` are inclusive.
+    ``lo`` and ``hi`` are inclusive.  The largest end so far and the number of components so far are taken per bucket
+    of positions with what earlier buckets carry, so a key with very many spans spreads over tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(lo, hi)
-    before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("_new", F.when(before.isNull() | (F.col(lo) > before), 1).otherwise(0))
-    return flagged.withColumn("component", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    d = spans.withColumn("_b", F.floor(F.col(lo) / WIDTH)).withColumn("_o", F.struct(lo, hi))
+    d = running_before(d, keys, "_b", "_o", hi, F.max, F.greatest, "_before")
+    d = d.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(lo) > F.col("_before")), 1).otherwise(0))
+    # Of equal spans the one that opens the component stands first.
+    d = d.withColumn("_o", F.struct(F.col(lo), F.col(hi), (1 - F.col("_new")).alias("later")))
+    d = running_before(d, keys, "_b", "_o", "_new", F.sum, lambda x, y: x + y, "_n")
+    return d.withColumn("component", F.coalesce("_n", F.lit(0)) + F.col("_new")).drop("_b", "_o", "_before", "_new", "_n")
 
 
 def runs(items: DataFrame, keys: list[str], idx: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import align, edits, lexicon, manuscripts, spans, tokens
+from loomtext.operators.windows import running_before
 from loomtext.sources import conllu
 from loomtext.sources.tables import read
 
@@ -294,8 +295,10 @@ def passage_next_start(s, d):
 
 def forward_filled_pages(s, d):
     r = read(s, d, "checked_readings", "reading_id", "document_id", "pdf_page").dropDuplicates(["reading_id"])
-    w = Window.partitionBy("document_id").orderBy("reading_id")
-    return r.select("reading_id", F.coalesce(F.last("pdf_page", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)).alias("page"))
+    # The last page so far is the largest (reading, page); ids of one length sort by their first signs, which are the bucket.
+    r = r.withColumn("b", F.expr("substring(reading_id, 1, length(reading_id) - 3)")).withColumn("seen", F.when(F.col("pdf_page").isNotNull(), F.struct("reading_id", "pdf_page")))
+    r = running_before(r.withColumn("document_id", F.coalesce("document_id", F.lit(""))), ["document_id"], "b", "reading_id", "seen", F.max, F.greatest, "before")
+    return r.select("reading_id", F.coalesce("pdf_page", "before.pdf_page", F.lit(-1)).alias("page"))
 
 
 NAMES = """token_frequency token_offsets kwic_concordance witness_statistics type_token_rollup top_forms_per_source forms_shared_across_langs
