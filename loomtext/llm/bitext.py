@@ -32,8 +32,8 @@ BLOCK = 250
 NULL_SCORE, PLAN_BONUS, MERGE_GAIN = 0.54, 0.1, 0.08
 #: Neighbours of one side that may render one sentence of the other together.
 LONGEST_SPAN = 3
-#: Entries looked up and pairs scored at once.
-EXPANDED, DENSE = 300_000, 1_000_000
+#: Entries looked up, pairs scored, and pairs whose links are kept, at once.
+EXPANDED, DENSE, CELLS = 300_000, 1_000_000, 20_000
 #: Share of rare words found on both sides from which two languages count as copying them.
 COPY_SHARE = 0.4
 
@@ -368,30 +368,34 @@ class _Block:
         rows = np.repeat(live, k)
         return rows, self.b_of[np.repeat(lo - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(len(rows))] if len(rows) else np.zeros(0, np.int64)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sentence a, sentence b, parts) of all pairs with something in common; parts as of ``_Scorer.parts``.
 
+        Sentences of side a are those of [first, last).
+
         Keeps, for merged spans, the links that are the best of their feature on either side of a pair; those
         of a span are among them.  As many sentences are looked up at once as EXPANDED entries allow.
         """
-        lo = np.searchsorted(self.ea, self.a, "left")
-        k = np.searchsorted(self.ea, self.a, "right") - lo
-        starts = np.flatnonzero(np.diff(self.a_of, prepend=-1)) if len(self.a_of) else np.zeros(0, np.int64)
+        p, q = np.searchsorted(self.a_of, (first, last))
+        a_of, a_own = self.a_of[p:q], self.a[p:q]
+        lo = np.searchsorted(self.ea, a_own, "left")
+        k = np.searchsorted(self.ea, a_own, "right") - lo
+        starts = np.flatnonzero(np.diff(a_of, prepend=-1)) if len(a_of) else np.zeros(0, np.int64)
         ends = np.cumsum(k + 1)
         before = np.concatenate(([0], ends))[starts]
         got, links, n, at = [], [], 0, 0
         while at < len(starts):
             to = max(at + 1, int(np.searchsorted(before, before[at] + EXPANDED, "right")) - 1) if at + 1 < len(starts) else at + 1
-            x, y = int(starts[at]), int(starts[to]) if to < len(starts) else len(self.a)
+            x, y = int(starts[at]), int(starts[to]) if to < len(starts) else len(a_own)
             occ = np.repeat(np.arange(x, y), k[x:y])
             e = np.repeat(lo[x:y] - np.concatenate(([0], np.cumsum(k[x:y])[:-1])), k[x:y]) + np.arange(len(occ))
-            r, j = self._beside(self.a_of[x:y], self.a[x:y])
-            q, j2 = self._beside(self.a_of[occ], self.eb[e])
-            same = self.a[x:y][r]
-            sa, sb = np.concatenate((self.a_of[x:y][r], self.a_of[occ[q]])), np.concatenate((j, j2))
+            r, j = self._beside(a_of[x:y], a_own[x:y])
+            q, j2 = self._beside(a_of[occ], self.eb[e])
+            same = a_own[x:y][r]
+            sa, sb = np.concatenate((a_of[x:y][r], a_of[occ[q]])), np.concatenate((j, j2))
             pair, where = np.unique(sa * self.many + sb, return_inverse=True)
             # A feature that stands on both sides is its own counterpart; its entries do not count then.
-            v = self._own_first(where, np.concatenate((same, self.a[occ[q]])), np.concatenate((same, self.eb[e[q]])),
+            v = self._own_first(where, np.concatenate((same, a_own[occ[q]])), np.concatenate((same, self.eb[e[q]])),
                                 np.concatenate((np.ones(len(j)), self.ew[e[q]])), np.arange(len(sa)) < len(j))
             parts, best = self._parts(*v, self.base[pair // self.many], self.base[pair % self.many])
             got.append((pair, parts))
@@ -482,28 +486,64 @@ def _joined(n: int, m: int, edges: list[tuple[int, int]], spans: list[tuple[floa
 
 
 def _solve_block(units: list[dict], block: _Block) -> list[tuple[str, str]]:
-    """Pairs of unit ids of all groups; ``units``: unit_id, unit_number and planned of each sentence, in order."""
-    ia, ib, parts = block.pairs()
-    found = set()
-    cut = np.flatnonzero(np.diff(block.group[ia])) + 1 if len(ia) else np.zeros(0, np.int64)
-    bounds = np.searchsorted(block.group, np.arange(int(block.group[-1]) + 2)) if len(block.group) else np.zeros(1, np.int64)
-    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(ia)]):
-        if lo == hi:
+    """Pairs of unit ids of all groups; ``units``: unit_id, unit_number and planned of each sentence, in order.
+
+    Small groups are scored together and large ones in strips of side a, CELLS pairs at once.  Strips overlap by what a
+    span can hold, so none is missed.
+    """
+    found: set[tuple[str, str]] = set()
+    count = int(block.group[-1]) + 1 if len(block.group) else 0
+    bounds = np.searchsorted(block.group, np.arange(count + 1))
+    sides = np.concatenate(([0], np.cumsum(block.left)))[bounds]
+    size_a = np.diff(sides)
+    cells = size_a * (np.diff(bounds) - size_a)
+
+    def strip(groups: range, first: int, last: int) -> dict[int, tuple[_Edges, list]]:
+        """Candidates of the groups' sentences a of [first, last); rows count from the group's first."""
+        ia, ib, parts = block.pairs(first, last)
+        out = {}
+        at = np.searchsorted(block.group[ia], np.arange(groups.start, groups.stop + 1))
+        for g in groups:
+            x, y = at[g - groups.start], at[g - groups.start + 1]
+            if x < y:
+                top, mid = int(bounds[g]), int(bounds[g] + size_a[g])
+                lo, hi = max(first, top), min(last, mid)
+                edges, many = _candidates(block, units, ia[x:y] - lo, ib[x:y] - mid, parts[x:y], lo, mid, hi - lo, int(bounds[g + 1]) - mid)
+                out[g] = _Edges(((i + lo - top, j), v) for (i, j), v in edges.items()), [(v, tuple(i + lo - top for i in p), q) for v, p, q in many]
+        return out
+
+    def settle(g: int, edges: _Edges, many: list) -> None:
+        top, mid = int(bounds[g]), int(bounds[g] + size_a[g])
+        for rows, cols, spans in _joined(int(size_a[g]), int(bounds[g + 1]) - mid, list(edges), many):
+            r, c = {x: k for k, x in enumerate(rows)}, {x: k for k, x in enumerate(cols)}
+            gain = np.full((len(rows), len(cols)), -1.0)
+            for i in rows:
+                for j, x in edges.of(i):
+                    gain[r[i], c[j]] = x
+            local = [(x, tuple(r[i] for i in p), tuple(c[j] for j in q)) for x, p, q in spans]
+            for p, q in assign_spans(gain, local):
+                found.update((units[top + rows[i]]["unit_id"], units[mid + cols[j]]["unit_id"]) for i in p for j in q)
+
+    g = 0
+    while g < count:
+        if cells[g] > CELLS:
+            top, mid = int(bounds[g]), int(bounds[g] + size_a[g])
+            high = max(LONGEST_SPAN, CELLS // max(1, int(bounds[g + 1]) - mid))
+            edges, many = _Edges(), {}
+            for lo in range(top, mid, max(1, high - LONGEST_SPAN + 1)):
+                for e, m in strip(range(g, g + 1), lo, min(mid, lo + high)).values():
+                    edges.update(e)
+                    many.update({(p, q): (v, p, q) for v, p, q in m})
+            settle(g, edges, list(many.values()))
+            g += 1
             continue
-        g = int(block.group[ia[lo]])
-        own = np.arange(bounds[g], bounds[g + 1])
-        a, b = own[block.left[own]], own[~block.left[own]]
-        first_a, first_b = int(a[0]), int(b[0])  # sentences are ordered by group and side
-        for edges, many in _candidates(block, units, ia[lo:hi] - first_a, ib[lo:hi] - first_b, parts[lo:hi], first_a, first_b, len(a), len(b)):
-            for rows, cols, spans in _joined(len(a), len(b), list(edges), many):
-                r, c = {x: k for k, x in enumerate(rows)}, {x: k for k, x in enumerate(cols)}
-                gain = np.full((len(rows), len(cols)), -1.0)
-                for i in rows:
-                    for j, x in edges.of(i):
-                        gain[r[i], c[j]] = x
-                local = [(x, tuple(r[i] for i in p), tuple(c[j] for j in q)) for x, p, q in spans]
-                for p, q in assign_spans(gain, local):
-                    found.update((units[first_a + rows[i]]["unit_id"], units[first_b + cols[j]]["unit_id"]) for i in p for j in q)
+        to, n = g, 0
+        while to < count and cells[to] <= CELLS and (to == g or n + cells[to] <= CELLS):
+            n += cells[to]
+            to += 1
+        for k, (edges, many) in strip(range(g, to), int(bounds[g]), int(bounds[to])).items():
+            settle(k, edges, many)
+        g = to
     return sorted({(min(x), max(x)) for x in found})
 
 
@@ -553,7 +593,7 @@ def _candidates(block: _Block, units: list[dict], i: np.ndarray, j: np.ndarray,
             else:
                 many += [(g, tuple(range(y, z + 1)), (x + at,)) for g, x, y, z in _merges(
                     d, gain, lambda x, y, size: block.span_scores(first_b + at + x, first_a + y, size), bonus)]
-    yield edges, many
+    return edges, many
 
 
 def _solve(units: pd.DataFrame, sc: _Scorer) -> pd.DataFrame:

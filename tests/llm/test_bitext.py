@@ -95,3 +95,19 @@ def test_merged_neighbours_enter_the_assignment():
     assert _spans(["abcdefgh", "efXY"], ["abcd", "efgh"]) == {("a0", "b0"), ("a0", "b1")}
     # Two sentences that match alone stay two pairs.
     assert _spans(["abcd", "efgh"], ["abcd", "efgh"]) == {("a0", "b0"), ("a1", "b1")}
+
+
+def test_strips_of_a_large_bitext_change_nothing(monkeypatch):
+    from loomtext.llm import bitext
+
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    fa = [rnd.sample(words, 6) for _ in range(30)]
+    fb = [[w for w in s if rnd.random() < 0.8] + rnd.sample(words, 2) for s in fa] + [fa[3][:3], fa[3][3:], fa[9][:2], fa[9][2:4], fa[9][4:]]
+    fa += [fb[5][:4], fb[5][4:]]
+    whole = _spans(fa, fb)
+    assert len(whole) > 20
+    for cells in (1, 50, 300):
+        monkeypatch.setattr(bitext, "CELLS", cells)
+        monkeypatch.setattr(bitext, "DENSE", 7 * cells)
+        assert _spans(fa, fb) == whole
