@@ -55,14 +55,15 @@ def running_before(
 
 
 def latest(df: DataFrame, key: str, at: str, among: list[str]) -> DataFrame:
-    """``among`` of the latest row of each ``key`` by ``at``; of equal times the row that is largest as JSON.
+    """``among`` of the latest row of each ``key`` by ``at``; of equal times the row with the largest values, null last.
 
     Null times are the earliest, a missing column ``at`` counts as null.  Null keys are
     one key.  Rows that cannot be the first are dropped before the shuffle, so a
-    key repeated in a third of all rows costs one row per partition.
+    key repeated in a third of all rows costs one row per partition.  Maps are compared as JSON.
     """
     when = F.col(at) if at in df.columns else F.lit(None).cast("timestamp")
-    w = Window.partitionBy(key).orderBy(F.col("_at").desc_nulls_last(), F.col("_json").desc())
     cols = [c for c in among if c != key]
-    d = df.select(key, *cols, when.alias("_at"), F.to_json(F.struct(*cols)).alias("_json"))
+    d = df.select(key, *cols, when.alias("_at"))
+    comparable = lambda c: F.to_json(F.struct(c)) if "map<" in d.schema[c].dataType.simpleString() else F.col(c)
+    w = Window.partitionBy(key).orderBy(F.col("_at").desc_nulls_last(), *[comparable(c).desc_nulls_last() for c in cols])
     return d.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(key, *cols)
