@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
@@ -115,9 +117,28 @@ def token_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     return [(m[0], m.start(), m.end(), any(a <= m.start() and m.end() <= b for a, b in labels)) for m in _token_pattern().finditer(text)]
 
 
-@F.pandas_udf(ArrayType(_SPAN))
-def token_spans_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([[{"surface": w, "start_pos": a, "end_pos": b, "label": x} for w, a, b, x in token_spans(t)] for t in text])
+@F.arrow_udf(ArrayType(_SPAN))
+def token_spans_udf(text: pa.Array) -> pa.Array:
+    """``token_spans`` of a column, put together as flat Arrow arrays."""
+    words, starts, ends, labels, offsets = [], [], [], [], [0]
+    find = _token_pattern().finditer
+    for t in text.to_pylist():
+        if t:
+            n = len(words)
+            for m in find(t):
+                words.append(m[0])
+                starts.append(m.start())
+                ends.append(m.end())
+            marks = [False] * (len(words) - n)
+            for m in NUMBER_LABEL.finditer(t):
+                for i in range(bisect_left(starts, m.start(), n), len(words)):
+                    if ends[i] > m.end():
+                        break
+                    marks[i - n] = True
+            labels += marks
+        offsets.append(len(words))
+    flat = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(labels, pa.bool_())], names=["surface", "start_pos", "end_pos", "label"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
 def clean_text(text: Column) -> Column:
