@@ -31,7 +31,7 @@ RARE = 0.1
 FREQUENT, FREQUENT_LEAST = 5e-5, 8
 #: A header word stands in at least so many short lines, and mostly there.
 HEADER_LINES, HEADER_SHARE = 4, 0.7
-#: Words that may follow a line's own page number where nothing else marks it as a header.
+#: Words beside the page's own number that are a header where nothing else marks them as one.
 NEAR_WORDS = 3
 #: A header is at most so wide, measured by the widest line of its reading.
 HEADER_WIDTH = 0.8
@@ -122,7 +122,7 @@ def _headers(lines: DataFrame, counts: DataFrame) -> DataFrame:
     known = table(known, "header-shapes")
     alike = v.where("not known").join(small(known), ["lang", "n", "v"], "left_semi").select("reading_id", "line_no")
     sure = c.where("known or trail").select("reading_id", "line_no")
-    # Beside its own page number a line without a verb's company is a header: two words at most follow the number.
+    # A few words beside the page's own number are a header even if they stand nowhere else.
     near = c.where((F.abs(F.col("lead") - F.col("page")) <= 1) & (F.col("n") <= NEAR_WORDS)).select("reading_id", "line_no")
     return sure.unionByName(alike).unionByName(near).groupBy("reading_id").agg(F.collect_set("line_no").alias("hs"))
 
