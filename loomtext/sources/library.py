@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtext.operators.spans import text_spans
+
 
 def passage_texts(fragments: DataFrame, blocks: DataFrame) -> DataFrame:
     """passage_id, source_id, text: the fragments' slices joined by blank lines.
@@ -61,6 +63,18 @@ def split_at_markers(parts: DataFrame, cuts: DataFrame) -> DataFrame:
     return j.select("p.doc", "c.n", "p.block_id", F.expr("greatest(c.at, p.a) - p.a").alias("start_pos"), F.expr("least(c.to, p.b) - p.a").alias("end_pos")).where("start_pos < end_pos")
 
 
+def _run_problem() -> Column:
+    return F.when(F.col("lo").isNull(), "empty").when(F.col("cuts"), "cuts a token").when(F.col("lo") <= F.col("prev") + 1, "skips no token")
+
+
+def text_token_runs(docs: DataFrame, doc_id: str, text: str, spans: Column) -> tuple[DataFrame, DataFrame]:
+    """(runs, problems) as of ``token_runs``, for spans of the text in the same row (see ``text_spans``): doc_id, no, lo, hi or problem."""
+    g = text_spans(docs, doc_id, text, spans)
+    cuts = F.coalesce((F.col("lo") < F.col("in_lo")) | (F.col("hi") > F.col("in_hi")), F.lit(False))
+    g = g.select(doc_id, "no", F.col("in_lo").alias("lo"), F.col("in_hi").alias("hi"), cuts.alias("cuts"), "prev").withColumn("problem", _run_problem())
+    return g.where("problem is null").select(doc_id, "no", "lo", "hi"), g.where("problem is not null").select(doc_id, "no", "problem")
+
+
 def token_runs(spans: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(runs, problems) of selections by code point spans.
 
@@ -75,9 +89,7 @@ def token_runs(spans: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFram
     g = j.groupBy("s.unit_id", "s.key", "s.no").agg(
         F.min(F.when(inside, F.col("t.idx"))).alias("lo"), F.max(F.when(inside, F.col("t.idx"))).alias("hi"), F.max(F.coalesce(~inside & F.col("t.idx").isNotNull(), F.lit(False))).alias("cuts"))
     w = Window.partitionBy("unit_id", "key").orderBy("no")
-    g = g.withColumn("prev", F.lag("hi").over(w))
-    problem = F.when(F.col("lo").isNull(), "empty").when(F.col("cuts"), "cuts a token").when(F.col("lo") <= F.col("prev") + 1, "skips no token")
-    g = g.withColumn("problem", problem)
+    g = g.withColumn("prev", F.lag("hi").over(w)).withColumn("problem", _run_problem())
     return g.where("problem is null").select("unit_id", "key", "no", "lo", "hi"), g.where("problem is not null").select("unit_id", "no", "problem")
 
 
