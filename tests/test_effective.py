@@ -33,6 +33,21 @@ def test_effective_witnesses(spark, base):
     assert got == {"x": ids(3, 4, 5), "y": [], "z": [], "q": [], "l": ids(7)}
 
 
+def test_a_witness_travels_once_for_all_its_wordings(spark, base):
+    """Its tokens stood in the row of every wording before, and all of those waited on disk for Python."""
+    w = E.witnesses(base)
+    rows = [("v1", "a", f"k{i}", x, i) for i, x in enumerate(["one", "two three.", "four five six", "six one", "", None, "one two three four five six"])] + [(None, "a", "n", "one", 7), ("v2", "a", "e", "one", 8), ("v1", None, "m", "one", 9)]
+    wanted = spark.createDataFrame(rows, "passage string, source string, k string, wanted string, n int")
+    got = E.exact_spans(wanted, w)
+    assert got.columns == ["passage", "source", "k", "wanted", "n", "token_ids"] and got.count() == 10
+    assert {r.k: r.token_ids for r in got.collect() if r.token_ids} == {"k0": ids(1), "k1": ids(2, 3), "k2": ids(4, 5, 6), "k6": ids(1, 2, 3, 4, 5, 6)}
+    seen = E.gathered(wanted, E.KEY)
+    assert seen.where("passage = 'v1' and source = 'a'").count() == 1 and seen.count() == 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("_only_places") < plan.index("Join")  # the search stands over one row per witness: it is joined after gathering
+    assert "collect_list" in plan[plan.index("Join"):]
+
+
 def test_units_through_all_edits(spark, base):
     none = spark.createDataFrame([], TEXT)
     eff = E.effective_witnesses(base, none, none)
