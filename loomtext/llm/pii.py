@@ -29,7 +29,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def spans_of(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """Spans of stored texts; characters nobody sees are skipped while tagging."""
+    """Spans of stored texts, whose every character the network reads; those nobody sees are skipped while tagging."""
     shown, maps = [], []
     for t in texts:
         p = plain(t)
@@ -41,7 +41,7 @@ def spans_of(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]
         shown.append(p)
     return [
         s if m is None else [(m[a], m[b - 1] + 1, k) for a, b, k in s]
-        for s, m in zip(tagger.find(shown), maps)
+        for s, m in zip(tagger.find(shown, gated=False), maps)
     ]
 
 

@@ -1,10 +1,10 @@
 """Character-level bidirectional LSTM with CRF transitions, in numpy (inference).
 
-A linear gate over hashed character trigrams first marks the regions that may
-hold personal data; it looks at every character of every text.  The tagger
-reads overlapping windows of those regions; each character takes its scores
-from the window in which it is most central, and one Viterbi pass over the
-whole region decodes them.
+The tagger reads overlapping windows of the whole of every text; each character
+takes its scores from the window in which it is most central, and one Viterbi
+pass over the whole text decodes them.  Where asked for (``gated``), a linear
+gate over hashed character trigrams first marks the regions that may hold
+personal data and only these are read; it loses a few spans.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ WINDOW, MARGIN = 160, 40
 #: Gate: bits of the trigram hash, smoothing width, least mean log-odds, and context kept around.
 GATE_BITS, GATE_WIDTH, GATE_LEAST, GATE_CONTEXT = 16, 10, 0.6, 40
 LANES = 512
+#: Characters decoded at once, counted as the longest text of a block times its texts.
+DECODED = LANES * 4096
 
 
 def code_points(text: str) -> np.ndarray:
@@ -147,8 +149,11 @@ class Tagger:
         tags = np.zeros(len(em), np.int8)
         first = np.concatenate(([0], np.cumsum(sizes)))
         order = np.argsort(sizes, kind="stable")
-        for k in range(0, len(order), LANES):
-            part = order[k : k + LANES]
+        to = len(order)
+        while to:
+            # Long texts stand with few others, so that the steps back fit in memory.
+            part = order[max(0, to - max(1, min(LANES, DECODED // max(1, sizes[order[to - 1]])))) : to]
+            to -= len(part)
             size = np.array([sizes[i] for i in part])
             t = int(size[-1])
             best = np.zeros((len(part), len(TAGS)), np.float32)

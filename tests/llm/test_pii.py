@@ -1,6 +1,7 @@
 import numpy as np
 
-from loomtext.llm.pii import find_pii, redact
+from loomtext.llm import pii_model
+from loomtext.llm.pii import find_pii, redact, spans_of
 from loomtext.llm.pii_model import KINDS, TAGS, Tagger, settle
 from loomtext.llm.pii_train import Net
 
@@ -71,3 +72,14 @@ def test_neighbours_and_the_gate_change_nothing():
     alone = [tagger.find([t])[0] for t in texts]
     assert tagger.find(texts) == alone == tagger.find(texts[::-1])[::-1]
     assert len(tagger.find([TEXT], gated=False)[0]) == len(WANT)
+
+
+def test_the_network_reads_what_the_gate_would_pass_over(monkeypatch):
+    tagger = Tagger()
+    texts = [TEXT, "", "x", "a\u200b" * 9, "plain words only " * 40, TEXT[:150] * 3]
+    want = spans_of(tagger, texts)
+    assert len(want[0]) == len(WANT)
+    tagger.gate = np.full_like(tagger.gate, -99)  # a gate that passes nothing
+    assert tagger.find([TEXT]) == [[]] and spans_of(tagger, texts) == want
+    monkeypatch.setattr(pii_model, "DECODED", 300)  # decoded one by one
+    assert spans_of(tagger, texts) == want
