@@ -114,3 +114,18 @@ def test_inventories(spark, wit):
     t = frame(spark, [target("u1", "eng_c", [1], "m")])
     assert {(r.source, r.problem) for r in A.integration_changes(before, after, t, frame(spark, [target("u1", "eng_c", [2], "m")])).collect()} == {("eng_c", "text"), ("new", "added"), ("eng_c", "targets")}
     assert A.integration_changes(before, before, t, t).collect() == []
+
+
+def test_a_witness_does_not_travel_with_each_of_its_units(spark, wit):
+    """Its tokens were shuffled once for every unit when overlaps were resolved."""
+    t = frame(spark, [target("u1", "eng_c", [1, 2], "m"), target("u2", "eng_c", [2, 3], "explicit-semantic-x"), target("u3", "eng_c", [5], "m"), target("u4", "none", [1], "m"), target("u5", "eng_c", None, "m")])
+    kept, withheld = A.without_overlaps(t, wit)
+    assert {r.unit_id: (r.token_ids, r.text) for r in kept.collect()} == {"u2": (ids("eng_c", 2, 3), "this is"), "u3": (ids("eng_c", 5), "appearance")}
+    assert [r.unit_id for r in withheld.collect()] == ["u1"]
+    want = spark.createDataFrame([("v1", "eng_c", "mere appear", 1), ("v1", "eng_c", "is", 2), ("v1", "eng_c", "All", 3), (None, "eng_c", "All", 4), ("v1", "zho_x", "。", 5)], "passage string, source string, wanted string, n int")
+    assert {r.n: r.token_ids for r in A.found_spans(want, wit).collect() if r.token_ids} == {1: ids("eng_c", 4, 5), 3: ids("eng_c", 1)}
+    for df in (kept, withheld, A.found_spans(want, wit), A.assigned(t.limit(0), new(spark, []), wit), A.stamped(kept, wit)[0]):
+        for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            assert "Join" not in line or "tokens" not in line
+    plan = withheld._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") >= 1 and "array_contains" not in plan
