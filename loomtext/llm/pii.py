@@ -31,8 +31,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 def spans_of(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Spans of stored texts, whose every character the network reads; those nobody sees are skipped while tagging."""
     shown, maps = [], []
+    every, to = plain("".join(texts)), 0
     for t in texts:
-        p = plain(t)
+        p, to = every[to : to + len(t)], to + len(t)
         if HIDDEN in p:
             maps.append([i for i, c in enumerate(p) if c != HIDDEN])
             p = p.replace(HIDDEN, "")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+
 from loomtext.llm.lookalike import LOOKALIKES, _ignorable
+from loomtext.llm.pii_model import code_points
 
 
 #: Stands for every default-ignorable character.
@@ -32,6 +35,16 @@ class _Plain(dict):
 _plain = _Plain()
 
 
+#: Plain code points of those seen so far; 0: not looked up yet.
+_seen = np.zeros(0x110000, np.uint32)
+
+
 def plain(text: str) -> str:
     """Full-width, look-alike and blank characters made plain; digits of all scripts as 0-9."""
-    return text.translate(_plain)
+    c = code_points(text)
+    p = _seen[c]
+    new = np.unique(c[p == 0]).tolist()
+    if new:
+        _seen[new] = [ord(_plain[u]) for u in new]
+        p = _seen[c]
+    return p.tobytes().decode("utf-32-le", "surrogatepass")

@@ -3,6 +3,7 @@ import numpy as np
 from loomtext.llm import pii_model
 from loomtext.llm.pii import find_pii, redact, spans_of
 from loomtext.llm.pii_model import KINDS, TAGS, Tagger, settle
+from loomtext.llm.pii_text import plain
 from loomtext.llm.pii_train import Net
 
 TEXT = (
@@ -83,3 +84,63 @@ def test_the_network_reads_what_the_gate_would_pass_over(monkeypatch):
     assert tagger.find([TEXT]) == [[]] and spans_of(tagger, texts) == want
     monkeypatch.setattr(pii_model, "DECODED", 300)  # decoded one by one
     assert spans_of(tagger, texts) == want
+
+
+def test_stretches_decode_as_the_whole():
+    t, rng = Tagger(), np.random.default_rng(3)
+    sizes, skipped = [1, 2, 70, 3, 400, 1, 25], 0
+    begins = np.zeros(sum(sizes), bool)
+    begins[np.cumsum(sizes) - sizes] = True
+    for level in (0, 3, 6, 9, 14):
+        em = rng.normal(scale=3, size=(len(begins), len(TAGS))).astype(np.float32)
+        em[:, 0] += level
+        em[:, 1::2] -= level / 2
+        skipped += t.sure(em, begins).sum()
+        want = []
+        for e in np.split(em.astype(np.float64), np.cumsum(sizes)[:-1]):
+            best, back = t.start + e[0], []
+            for row in e[1:]:
+                q = best[:, None] + t.trans
+                back.append(q.argmax(axis=0))
+                best = q.max(axis=0) + row
+            path = [int(best.argmax())]
+            for b in back[::-1]:
+                path.append(int(b[path[-1]]))
+            want += path[::-1]
+        assert t.decode(em, sizes).tolist() == want, level
+    assert 500 < skipped < 5 * len(begins)
+
+
+def test_windows_are_read_as_far_as_they_count(monkeypatch):
+    t, read = Tagger(), []
+    texts = [TEXT, "x", TEXT[:159], TEXT[:80], TEXT * 3]
+    ids, ends = t.ids[pii_model.code_points("".join(texts))], np.cumsum([len(x) for x in texts])
+    run = Tagger.run
+    monkeypatch.setattr(Tagger, "run", lambda self, i, way, first, skip, steps: read.append(steps) or run(self, i, way, first, skip, steps))
+    em = t.emissions(ids, [(int(b) - len(x), int(b)) for x, b in zip(texts, ends)])
+    assert len(read) == 2 and max(read) == pii_model.WINDOW - pii_model.MARGIN
+    # The same by the definition: both directions from the whole window, in double precision.
+    with np.load(pii_model.MODEL) as z:
+        w = {k: z[k].astype(np.float64) for k in z.files}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(part, d):
+        h = c = np.zeros(t.hidden)
+        for k in part:
+            i, f, o, g = np.split(w["emb"][k] @ w["wx" + d] + w["b" + d] + h @ w["wh" + d], 4)
+            c = sig(f) * c + sig(i) * np.tanh(g)
+            h = sig(o) * np.tanh(c)
+            yield h
+
+    for x, b in zip(texts, ends):
+        a = b - len(x)
+        for s in range(a, b, 80):
+            lo, hi = max(a, s - 40), min(b, s + 120)
+            both = np.c_[list(states(ids[lo:hi], "f")), list(states(ids[lo:hi][::-1], "b"))[::-1]]
+            want = (both @ w["out"] + w["out_b"])[s - lo : min(b, s + 80) - lo]
+            assert np.abs(em[s : s + len(want)] - want).max() < 1e-3
+
+
+def test_plain_reads_many_texts_at_once():
+    texts = ["ＡＢ１２\u00a0x", "", "а\u200bо٣", "𝟗😀，\n", "\x00a"]
+    assert [plain(t) for t in texts] == ["AB12 x", "", "a\u200bo3", "9😀，\n", "\x00a"] and plain("".join(texts)) == "".join(map(plain, texts))
