@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import anchors as A
 from loomtext.operators.effective import witnesses
+from loomtext.plans import workbench
 
 BASE = "san_a"
 
@@ -129,3 +130,38 @@ def test_a_witness_does_not_travel_with_each_of_its_units(spark, wit):
             assert "Join" not in line or "tokens" not in line
     plan = withheld._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") >= 1 and "array_contains" not in plan
+
+
+def test_phrases_of_units_whose_targets_were_dropped(spark, wit):
+    """Such a unit's phrase was lost, as was the order of anchors; a group of one was left over; an unknown number went unseen."""
+    t = frame(spark, [target("u1", BASE, [1, 2], "m"), target("u2", "zho_x", [1, 2], "positional-projection")])
+    rows = [("v1", "eng_c", ["1.2"], "All this", 1), ("v1", "eng_c", ["1.3", "1.2"], "Nothing else", 2), ("v1", "eng_c", ["1.3"], "All this is", 3), ("v1", "eng_c", ["1.2", "1.9"], "seen", 0)]
+    phrases = spark.createDataFrame(rows, "passage string, source string, numbers array<string>, phrase string, seq int")
+    units = spark.createDataFrame([("v1", f"u{k}", f"1.{k}", k) for k in (1, 2, 3)], "passage string, unit_id string, number string, ord bigint")
+    out, withheld, _ = A.repaired(t, wit, BASE, phrases=phrases.where("seq > 0"), units=units)
+    got = {(r.unit_id, r.source): (r.text, r.method, r.group_id) for r in out.collect()}
+    assert got == {("u1", BASE): ("vijnapti matram", "m", None), ("u2", "eng_c"): ("Nothing else", A.PHRASE, None), ("u3", "eng_c"): ("All this is", A.PHRASE, None)}
+    out, _, _ = A.repaired(t, wit, BASE, phrases=phrases.where("seq = 1"))
+    assert {(r.unit_id, r.source) for r in out.collect()} == {("u1", BASE), ("u2", "eng_c")}
+    with pytest.raises(Exception, match="unknown unit: eng_c 1.9"):
+        A.phrase_targets(t, wit, phrases, units=units).collect()
+    bad = phrases.unionByName(phrases.where("seq = 3").withColumn("phrase", F.lit("here")))
+    out, withheld, _ = A.repaired(t, wit, BASE, phrases=bad, units=units, strict=False)
+    assert {(r.unit_id, r.reason) for r in withheld.collect()} == {(None, "unknown unit"), ("u3", "ambiguous or missing phrase")}
+    assert {(r.unit_id, r.text) for r in out.where("source = 'eng_c'").collect()} == {("u2", "Nothing else"), ("u3", "All this is")}
+
+
+def test_repaired_alignment_anchors_the_plan_phrases(spark, tmp_path):
+    """The query took no phrases from the plans."""
+    de = ["Das Feuer brennt.", "Der Fluss steigt.", "Ein Vogel ruft.", "Die Lampe scheint."]
+    en = ["The fire burns at night.", "The river rises at dawn.", "A bird calls at night.", "Now the lamp shines."]
+    rows = [(f"u{i}", 1, f"1.{i}", i, "unassigned", "high", {"deu_a": x}) for i, x in enumerate(de, 1)] + [(f"e{i}", 1, None, i, "unassigned", "high", {"eng_b": x}) for i, x in enumerate(en, 1)]
+    a = spark.createDataFrame(rows, "unit_id string, bitext_id bigint, unit_number string, unit_order int, unit_status string, confidence string, targets map<string,string>")
+    a = a.withColumn("passage_id", F.lit("p")).withColumn("target_token_ids", F.create_map().cast("map<string,array<string>>")).withColumn("mapping_methods", F.create_map().cast("map<string,string>"))
+    a.write.parquet(str(tmp_path / "alignments.parquet"))
+    items = [["_", "The fire"], ["1.2", "The river rises"], ["1.3", "at night"], ["1.4", "Now the lamp"]]
+    plan = ("p1", 1, "eng_b", {"1": items}, None)
+    spark.createDataFrame([plan, plan], "plan_id string, bitext_id bigint, source_id string, passages map<string,array<array<string>>>, drafted_at timestamp").write.parquet(str(tmp_path / "semantic_plans.parquet"))
+    got = {(r.source, r.method): (r.targets, r.tokens) for r in workbench.repaired_alignment(spark, str(tmp_path)).collect()}
+    # e2 gives way to the phrase of 1.2, e4 was a projection and is dropped; 'at night' stands twice.
+    assert got == {("deu_a", "found"): (3, 9), ("deu_a", "positional-projection"): (1, 3), ("eng_b", "found"): (2, 10), ("eng_b", A.PHRASE): (2, 6)}
